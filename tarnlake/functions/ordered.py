@@ -107,41 +107,6 @@ def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     )
 
 
-def with_neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    fields: Sequence[str],
-    out: str,
-    step: int = 1,
-) -> DataFrame:
-    """Struct of ``fields`` from the next (``step=1``) or previous (``step=-1``) row of the key.
-
-    ``bucket`` must not decrease along ``order`` (a month of the ordering timestamp, say).
-    Rows are ordered inside ``(keys, bucket)``; one edge row per bucket links the buckets.
-    ``order`` must be a total order inside a key.
-    """
-    keys = list(keys)
-    df = df.withColumn("_bucket", bucket)
-    payload = F.struct(*fields)
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    across = W.partitionBy(*keys).orderBy("_bucket")
-    shift = F.lead if step > 0 else F.lag
-    edge = F.min_by if step > 0 else F.max_by
-    edges = (
-        df.groupBy(*keys, "_bucket")
-        .agg(edge(payload, F.struct(*order)).alias("_edge"))
-        .select(*keys, "_bucket", shift("_edge").over(across).alias("_carry"))
-    )
-    shifted = df.withColumn("_near", shift(payload).over(inside))
-    return (
-        null_safe_join(shifted, edges, [*keys, "_bucket"], "left")
-        .withColumn(out, F.coalesce("_near", "_carry"))
-        .drop("_near", "_carry", "_bucket")
-    )
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Equi-join that matches null keys and keeps the left copy of the key columns."""
     renamed = right.select(
