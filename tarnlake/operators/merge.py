@@ -21,8 +21,19 @@ def latest_changes(changes: DataFrame, pk: Sequence[str], ts: str) -> DataFrame:
 
 
 def scd1_merge(target: DataFrame, changes: DataFrame, pk: Sequence[str], ts: str) -> DataFrame:
-    """Target with every changed key replaced by its newest change and new keys added."""
+    """Target with every changed key replaced by its newest change and new keys added.
+
+    When the target carries ``ts`` itself, a change older than the held row is ignored,
+    so late or repeated batches do no harm.
+    """
     newest = latest_changes(changes, pk, ts)
+    if ts in target.columns:
+        held = target.select(*pk, F.col(ts).alias("_held"))
+        newest = (
+            newest.join(held, list(pk), "left")
+            .filter(F.col("_held").isNull() | (F.col(ts) >= F.col("_held")))
+            .drop("_held")
+        )
     kept = target.join(newest.select(*pk), list(pk), "left_anti")
     return kept.unionByName(newest.select(*target.columns))
 
