@@ -24,15 +24,24 @@ def pattern(kind: str) -> str:
     return "".join(PATTERNS[kind])
 
 
+def _possible(text: Column, kind: str) -> Column:
+    """A cheap test that every match passes: most texts hold no digit and no at-sign."""
+    return text.contains("@") if kind == "email" else text.rlike("[0-9]")
+
+
 def occurrences(text: Column, kind: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern(kind))), F.lit(0))
+    found = F.regexp_count(text, F.lit(pattern(kind)))
+    return F.when(_possible(text, kind), found).otherwise(0)
+
+
+def holds(text: Column, kind: str) -> Column:
+    """True where the text has a match; false for null."""
+    return F.when(_possible(text, kind), text.rlike(pattern(kind))).otherwise(False)
 
 
 def kinds_in(text: Column) -> Column:
     """Comma list of the kinds found in the text, in name order; empty when clean."""
-    return F.concat_ws(
-        ",", *[F.when(text.rlike(pattern(k)), F.lit(k)) for k in sorted(PATTERNS)]
-    )
+    return F.concat_ws(",", *[F.when(holds(text, k), F.lit(k)) for k in sorted(PATTERNS)])
 
 
 def blank_out(text: Column, strategies: Mapping[str, str]) -> Column:
@@ -41,6 +50,7 @@ def blank_out(text: Column, strategies: Mapping[str, str]) -> Column:
     Cards go first, since a phone pattern also fits part of a card number. Two matches
     that share their boundary character need a second pass.
     """
+    clean = text
     for kind, (before, core, after) in PATTERNS.items():
         strategy = strategies.get(kind)
         if strategy is None or strategy == "allow":
@@ -48,11 +58,11 @@ def blank_out(text: Column, strategies: Mapping[str, str]) -> Column:
         token = {"mask": "****", "redact": f"[{kind}]"}[strategy]
         if before:
             regex = f"({before[3:-1]}){core}({after[3:-1]})"
-            once = F.regexp_replace(text, regex, f"$1{token}$2")
-            text = F.regexp_replace(once, regex, f"$1{token}$2")
+            for _ in range(2):
+                clean = F.regexp_replace(clean, regex, f"$1{token}$2")
         else:
-            text = F.regexp_replace(text, core, token)
-    return text
+            clean = F.regexp_replace(clean, core, token)
+    return F.when(_possible(text, "email") | text.rlike("[0-9]"), clean).otherwise(text)
 
 
 def protect_field(value: Column, strategy: str, secret: str = "") -> Column:

@@ -116,14 +116,13 @@ def train_table(
     if not features:
         raise ValueError("no numeric feature column")
     rows = df.select(*key, *features, target).dropna(subset=[*features, target])
-    shape = rows.agg(F.count("*").alias("n")).first()
-    if shape["n"] < MIN_ROWS:
-        raise ValueError(f"{shape['n']} rows; at least {MIN_ROWS} are needed")
+    train, test = split_rows(rows, key)
+    total, n_train = rows.count(), train.count()
+    if total < MIN_ROWS:
+        raise ValueError(f"{total} rows; at least {MIN_ROWS} are needed")
     whole = kinds[target] in numeric[:4]
     classes = rows.select(target).distinct().limit(MAX_CLASSES + 1).count() if whole else 0
     classify = whole and classes <= MAX_CLASSES
-    train, test = split_rows(rows, key)
-    n_train = train.count()
     if classify:
         estimator = {
             "random_forest": lambda: random_forest_classifier(),

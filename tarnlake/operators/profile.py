@@ -79,8 +79,9 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return top_per_key(counts, ["column_name"], [F.desc("n"), F.asc("value")], k)
 
 
-def preview(df: DataFrame, rows: int = 8) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = 8, order: Sequence[str] = ()) -> DataFrame:
+    """A few rows; the first ones in key order when an order is given."""
+    return (df.orderBy(*order) if order else df).limit(rows)
 
 
 READ_ONLY = ("select", "with", "values", "show", "describe", "explain", "from")

@@ -8,14 +8,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.text import tokens
+from tarnlake.functions.text import spaced_words, term_count, word_count
+from tarnlake.session import reliable_checkpoint
+from tarnlake.sources.tables import spread_small
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 
 
 def query_terms(text: str) -> list[str]:
-    """Distinct terms of a query, in first-seen order, by the rule of ``tokens``."""
+    """Distinct terms of a query, in first-seen order, by the rule of ``spaced_words``."""
     words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower())
     return list(dict.fromkeys(words.split()))
 
@@ -24,27 +26,25 @@ def _add(columns: Sequence[Column]) -> Column:
     return functools.reduce(lambda a, b: a + b, columns)
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
-
-
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     """``id, score, matched`` of every document that holds a query term.
 
-    A document is scored where it lies: term counts are taken from its token array, and
-    the collection statistics (size, mean length, document frequency of each term) come
-    from one aggregate. Nothing is exploded and no join is needed.
+    The texts are read once, into one small row of counts per document that is kept in
+    the checkpoint folder. Collection statistics (size, mean length, document frequency
+    of each term) are one aggregate over those rows. Nothing is exploded or joined.
     """
     terms = query_terms(query)
     if not terms:
         raise ValueError("the query holds no term")
-    counted = df.select(id_col, tokens(F.col(text_col)).alias("_t")).select(
-        id_col,
-        F.size("_t").alias("_len"),
-        *[
-            _occurrences("_t", term).alias(f"_tf{i}")
-            for i, term in enumerate(terms)
-        ],
+    spaced = spread_small(df.select(id_col, text_col)).select(
+        id_col, spaced_words(F.col(text_col)).alias("_t")
+    )
+    counted = reliable_checkpoint(
+        spaced.select(
+            id_col,
+            word_count(F.col("_t")).alias("_len"),
+            *[term_count(F.col("_t"), term).alias(f"_tf{i}") for i, term in enumerate(terms)],
+        )
     )
     hits = [F.col(f"_tf{i}") > 0 for i in range(len(terms))]
     stats = counted.agg(

@@ -103,36 +103,114 @@ def nearest_neighbours(
             F.explode(F.expr(f"sequence(0L, {n_other - 1}L)")).alias(other),
         )
 
-    left = blocks(queries, "qb", n_q, "ib", n_i)
-    right = blocks(items, "ib", n_i, "qb", n_q)
+    parts = _score_blocks(
+        blocks(queries, "qb", n_q, "ib", n_i),
+        blocks(items, "ib", n_i, "qb", n_q),
+        ["qb", "ib"],
+        k,
+        exclude_self,
+    )
+    return top_per_key(parts, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+
+def _score_blocks(
+    left: DataFrame, right: DataFrame, cell: Sequence[str], k: int, exclude_self: bool
+) -> DataFrame:
+    """Best ``k`` items per query inside every cell of two blocked sides ``id, v``."""
 
     def score(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         a = np.stack(q["v"].to_numpy()).astype(np.float64)
         b = np.stack(i["v"].to_numpy()).astype(np.float64)
-        ids = i["id"].to_numpy()
+        qids, ids = q["id"].to_numpy(), i["id"].to_numpy()
         lengths = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
         sims = np.round(a @ b.T / (lengths + TINY), 4)
         if exclude_self:
-            sims[q["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            sims[qids[:, None] == ids[None, :]] = -np.inf
         keep = min(k, sims.shape[1])
         # Everything at or above the k-th best value, so ties are settled by id.
         floor = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-        out = []
-        for row, qid in enumerate(q["id"].to_numpy()):
+        best = []
+        for row in range(len(qids)):
             near = np.flatnonzero((sims[row] >= floor[row]) & np.isfinite(sims[row]))
-            best = near[np.lexsort((ids[near], -sims[row, near]))][:keep]
-            out.append(pd.DataFrame({"query_id": qid, "item_id": ids[best],
-                                     "score": sims[row, best]}))
-        return pd.concat(out, ignore_index=True)
-
-    parts = (
-        left.groupBy("qb", "ib")
-        .cogroup(right.groupBy("qb", "ib"))
+            best.append(near[np.lexsort((ids[near], -sims[row, near]))][:keep])
+        rows = np.repeat(np.arange(len(qids)), [len(n) for n in best])
+        columns = np.concatenate(best)
+        return pd.DataFrame(
+            {"query_id": qids[rows], "item_id": ids[columns], "score": sims[rows, columns]}
+        )
+
+    return (
+        left.groupBy(*cell)
+        .cogroup(right.groupBy(*cell))
         .applyInPandas(score, "query_id bigint, item_id bigint, score double")
     )
-    return top_per_key(parts, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+
+def nearest_neighbours_lsh(
+    queries: DataFrame,
+    items: DataFrame,
+    id_col: str,
+    vector: str,
+    dimensions: int,
+    k: int = 20,
+    planes: int = 8,
+    tables: int = 8,
+    block_rows: int = 4096,
+    exclude_self: bool = True,
+    seed: int = 42,
+) -> DataFrame:
+    """Approximate cosine k-NN for sides too large for all block pairs.
+
+    Random hyperplanes give every vector one bucket per hash table; only vectors that
+    share a bucket are compared. A bucket of any size is cut into blocks as in the exact
+    search, so a bucket with a third of all rows becomes many bounded tasks. Scores of
+    the pairs found are exact; pairs that share no bucket are missed.
+    """
+    normals = np.random.default_rng(seed).standard_normal((tables, planes, dimensions))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            weights = 2 ** np.arange(planes)
+            for frame in frames:
+                if frame.empty:
+                    continue
+                points = np.stack(frame["v"].to_numpy()).astype(np.float64)
+                for t in range(tables):
+                    bucket = ((points @ normals[t].T) > 0) @ weights
+                    yield frame.assign(hash_table=t, bucket=bucket)
+
+        plain = df.select(
+            F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")
+        )
+        return plain.mapInPandas(run, "id bigint, v array<float>, hash_table int, bucket bigint")
+
+    def block_counts(df: DataFrame, name: str) -> DataFrame:
+        blocks = F.ceil(F.count("*") / block_rows).cast("bigint")
+        return df.groupBy("hash_table", "bucket").agg(blocks.alias(name))
+
+    q, i = bucketed(queries), bucketed(items)
+    # One row per bucket in use: at most tables * 2 ** planes rows.
+    sizes = block_counts(q, "n_q").join(block_counts(i, "n_i"), ["hash_table", "bucket"])
+
+    def blocked(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        return df.join(sizes, ["hash_table", "bucket"]).select(
+            "id", "v", "hash_table", "bucket",
+            F.pmod(F.xxhash64("id"), F.col(n_own)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_other) - 1)).alias(other),
+        )
+
+    parts = _score_blocks(
+        blocked(q, "qb", "n_q", "ib", "n_i"),
+        blocked(i, "ib", "n_i", "qb", "n_q"),
+        ["hash_table", "bucket", "qb", "ib"],
+        k,
+        exclude_self,
+    )
+    # A pair found in several tables has the same score in each.
+    pairs = parts.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    return top_per_key(pairs, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
 def collection_status(configured: DataFrame, built: DataFrame) -> DataFrame:

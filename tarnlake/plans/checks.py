@@ -393,7 +393,20 @@ def schema_diff(spark, sf_dir):
     return schema.diff(contract, observed).na.fill("-", ["old_type", "new_type"])
 
 
-@query("schema_accept")
+@query(
+    "schema_accept",
+    """
+    WITH o AS (
+      SELECT column_name, CASE WHEN column_name = 'o_custkey' THEN 'string'
+               WHEN column_type = 'BIGINT' THEN 'bigint' WHEN column_type = 'VARCHAR' THEN 'string'
+               WHEN column_type = 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS column_type
+      FROM (DESCRIBE orders) WHERE column_name <> 'o_orderpriority')
+    SELECT 'orders' AS table_name, column_name, column_type FROM o
+    UNION ALL SELECT 'orders', 'o_channel', 'string'
+    UNION ALL SELECT 'nation', column_name,
+           CASE column_type WHEN 'INTEGER' THEN 'int' ELSE 'string' END FROM (DESCRIBE nation)
+    """,
+)
 def schema_accept(spark, sf_dir):
     contract = schema.snapshot(table(spark, sf_dir, "orders"), "orders").unionByName(
         schema.snapshot(table(spark, sf_dir, "nation"), "nation")
@@ -441,9 +454,9 @@ def catalog_tables(spark, sf_dir):
     )
 
 
-@query("table_preview")
+@query("table_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8")
 def table_preview(spark, sf_dir):
-    return profile.preview(table(spark, sf_dir, "orders"))
+    return profile.preview(table(spark, sf_dir, "orders"), 8, order=["o_orderkey"])
 
 
 @query(

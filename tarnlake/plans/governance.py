@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnlake.functions.pii import PATTERNS, pattern
+from tarnlake.functions.pii import PATTERNS, kinds_in, pattern
 from tarnlake.operators import graph, lineage, privacy
 from tarnlake.plans.declarative import EDGES_SQL, weekly_edges
 from tarnlake.plans.registry import query, table
+from tarnlake.sources.tables import spread_small
 
 KINDS = sorted(PATTERNS)
 
@@ -166,11 +167,9 @@ def audit_filter_counts(spark, sf_dir):
 )
 def audit_top_fields(spark, sf_dir):
     """One audit record per masked document, with the kinds masked in it."""
-    from tarnlake.functions.pii import kinds_in
-
     found = kinds_in(F.col("text"))
     records = (
-        table(spark, sf_dir, "documents")
+        spread_small(table(spark, sf_dir, "documents"))
         .select(found.alias("found"))
         .filter("found <> ''")
         .select(F.split("found", ",").alias("pii_fields"))

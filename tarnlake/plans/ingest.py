@@ -150,9 +150,14 @@ def src_format(spark, sf_dir):
     return out
 
 
-@query("source_stats")
+@query(
+    "source_stats",
+    "SELECT count(*) AS row_count, 11 AS column_count, TRUE AS has_bytes FROM lineitem",
+)
 def stats(spark, sf_dir):
-    return source_stats(table(spark, sf_dir, "lineitem"))
+    return source_stats(table(spark, sf_dir, "lineitem")).select(
+        "row_count", "column_count", (F.col("bytes") > F.col("files")).alias("has_bytes")
+    )
 
 
 @query(

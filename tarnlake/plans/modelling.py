@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tarnlake.operators import drift, features, ml
 from tarnlake.plans.golden import BRANDS, TYPES, part_features
 from tarnlake.plans.registry import query, table
 from tarnlake.session import scratch_path
+from tarnlake.sources.tables import Lakehouse
 
 DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -131,11 +133,18 @@ FLAGS = [f"t_{t.lower()}" for t in TYPES] + [f"b_{b[6:]}" for b in BRANDS]
 MODEL_FEATURES = NUMBERS + FLAGS
 
 
+@functools.lru_cache(maxsize=8)
+def _feature_table(spark, sf_dir) -> str:
+    lake = Lakehouse(spark, scratch_path(spark, "lake"))
+    return lake.write(part_features(spark, sf_dir), "gold_part_features")
+
+
 def model_rows(spark, sf_dir):
-    return part_features(spark, sf_dir)
+    """The feature table, built once: training and scoring read it many times."""
+    return spark.read.parquet(_feature_table(spark, sf_dir))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=8)
 def _rating_model(spark, sf_dir, kind: str):
     estimator = (
         ml.random_forest_regressor("target_rating", trees=150, depth=8, min_leaf=20)
@@ -225,8 +234,6 @@ def ml_churn_gate(spark, sf_dir):
 @query("ml_predict")
 def ml_predict(spark, sf_dir):
     """Save, register, promote, load the latest production model and score every part."""
-    from pyspark.ml import PipelineModel
-
     rows = model_rows(spark, sf_dir).select("p_partkey", "target_rating", *MODEL_FEATURES)
     done = ml.train_table(rows, "target_rating", ["p_partkey"], "linear")
     path = ml.save_model(done, scratch_path(spark, "models"), "rating")

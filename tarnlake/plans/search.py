@@ -66,6 +66,14 @@ def vector_knn(spark, sf_dir):
     return vectors.nearest_neighbours(embeddings, embeddings, "vec_id", "embedding", k=20)
 
 
+@query("vector_knn_lsh")
+def vector_knn_lsh(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    return vectors.nearest_neighbours_lsh(
+        embeddings, embeddings, "vec_id", "embedding", dimensions=64, k=20, planes=3, tables=16
+    )
+
+
 @query(
     "chunk_documents",
     """

@@ -48,6 +48,24 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in found if "__" not in n)
 
 
+def spread_small(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
+    """Deal the rows of a small, costly-to-process input over all cores.
+
+    A file with one row group is read by one task however many cores wait. Larger inputs
+    have splits enough and come back as they are, so no large shuffle is ever added.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = 0
+    for name in files:
+        fs, path = _fs(spark, name)
+        size += fs.getFileStatus(path).getLen()
+    return df.repartition(cores) if size <= cores * bytes_per_core else df
+
+
 def write_table(
     df: DataFrame,
     path: str,
