@@ -127,17 +127,23 @@ def equality_filter(df: DataFrame, wanted: Mapping[str, Any]) -> DataFrame:
 
 
 def split_bad_rows(
-    spark: SparkSession, path: str, schema: T.StructType, **options: str
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = False, **options: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Delimited file as (good rows, raw text of the rows that do not fit the schema)."""
+    """Delimited lines as (good rows, raw text of the lines that do not fit the schema).
+
+    Lines are parsed whole, so which columns are asked for later never changes which
+    lines count as bad. A header line is recognised by the schema's column names.
+    """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = (
-        spark.read.schema(full)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
-        .csv(path)
-    )
-    good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return good, df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    lines = spark.read.text(path)
+    if header:
+        first = options.get("sep", ",").join(schema.names)
+        lines = lines.filter(F.col("value") != first)
+    settings = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **options}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.fields)
+    parsed = lines.select(F.from_csv("value", ddl, settings).alias("r"))
+    good = parsed.filter(F.col(f"r.{CORRUPT}").isNull()).select(*[f"r.{c}" for c in schema.names])
+    return good, parsed.filter(F.col(f"r.{CORRUPT}").isNotNull()).select(f"r.{CORRUPT}")
 
 
 def source_stats(df: DataFrame) -> DataFrame:
