@@ -7,6 +7,7 @@ are ordered across buckets, so the sort work of a hot group is spread out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+# Distinct values that one task orders comfortably.
+SMALL = 1_000_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -34,9 +37,26 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).filter(F.col(rank) <= k)
 
 
-def _bucket_of(value: Column, bounds: Column) -> Column:
-    return F.aggregate(
-        bounds, F.lit(0), lambda acc, b: acc + F.when(b < value, F.lit(1)).otherwise(F.lit(0))
+def _bounds(df: DataFrame, value: str, buckets: int) -> list:
+    """Distinct approximate quantiles of a numeric column: at most ``buckets`` numbers."""
+    cuts = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(F.col(value), cuts, 1000).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def _place(value: str, bounds: Sequence, first: int = 0) -> str:
+    """SQL for the place of a value among the bounds, as a balanced tree of comparisons.
+
+    Bound ``i`` itself is place ``2 * i + 1``; the gap below it is ``2 * i``.
+    """
+    if not bounds:
+        return str(2 * first)
+    middle = len(bounds) // 2
+    at = f"{bounds[middle]!r}D" if isinstance(bounds[middle], float) else str(bounds[middle])
+    return (
+        f"CASE WHEN `{value}` = {at} THEN {2 * (first + middle) + 1} "
+        f"WHEN `{value}` < {at} THEN {_place(value, bounds[:middle], first)} "
+        f"ELSE {_place(value, bounds[middle + 1 :], first + middle + 1)} END"
     )
 
 
@@ -46,37 +66,35 @@ def counts_before(
     value: str,
     descending: bool = False,
     buckets: int = DEFAULT_BUCKETS,
+    small: int = SMALL,
 ) -> DataFrame:
     """Distinct ``(keys, value)`` with ``n`` rows and ``n_before`` rows ordered ahead of them.
 
-    Equal values are counted before anything is ordered, so ties never pile up in a
-    task; the distinct values are then cut at approximate quantiles (a bounded array)
-    and running totals are taken inside and across the buckets. The counts are exact:
-    the quantiles only decide where the cuts fall. Null values are left out.
+    Equal values are counted before anything is ordered, so ties never pile up in a task.
+    With few distinct values (checked) a running total per key finishes the job. Beyond
+    that the values are cut at approximate quantiles, and running totals are taken inside
+    and across the buckets. The counts are exact: the quantiles only decide where the cuts
+    fall. Null values are left out. The input is read several times, so pass a table or a
+    checkpointed frame.
     """
     keys = list(keys)
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    sample = df.agg(F.percentile_approx(F.col(value), cuts, 1000).alias("b"))
-    values = (
-        values.withColumn("_bounds", sample.scalar())
-        .withColumn("_bucket", _bucket_of(F.col(value), F.col("_bounds")))
-        .drop("_bounds")
-    )
 
     def sort(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
 
+    # Without keys the ordered rows share one constant group: few values, or few buckets.
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    distinct = df.agg(F.approx_count_distinct(value)).first()[0]
+    if distinct <= small:
+        ahead = F.sum("n").over(whole.orderBy(sort(value))) - F.col("n")
+        return values.withColumn("n_before", ahead)
+
+    values = values.withColumn("_bucket", F.expr(_place(value, _bounds(df, value, buckets))))
     inside = W.partitionBy(*keys, "_bucket").orderBy(sort(value))
-    across = W.partitionBy(*keys).orderBy(sort("_bucket"))
-    if not keys:
-        # One row per bucket: at most ``buckets`` rows in the ordered step.
-        across = W.partitionBy(F.lit(0)).orderBy(sort("_bucket"))
-    offsets = (
-        values.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_total"))
-        .select(*keys, "_bucket", (F.sum("_total").over(across) - F.col("_total")).alias("_offset"))
-    )
+    offsets = values.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_total"))
+    ahead = F.sum("_total").over(whole.orderBy(sort("_bucket"))) - F.col("_total")
+    offsets = offsets.select(*keys, "_bucket", ahead.alias("_offset"))
     running = values.withColumn("_inside", F.sum("n").over(inside) - F.col("n"))
     return null_safe_join(running, offsets, [*keys, "_bucket"], "inner").select(
         *keys, value, "n", (F.col("_inside") + F.col("_offset")).alias("n_before")
@@ -90,21 +108,50 @@ def rank_split(
     out: str,
     descending: bool = True,
     buckets: int = DEFAULT_BUCKETS,
+    small: int = SMALL,
 ) -> DataFrame:
     """``RANK()`` per key (or global with no keys) of a not-null value, without a one-task sort."""
-    ranks = counts_before(df, keys, value, descending, buckets).select(
+    ranks = counts_before(df, keys, value, descending, buckets, small).select(
         *keys, value, (F.col("n_before") + 1).alias(out)
     )
     return null_safe_join(df, ranks, [*keys, value], "inner")
 
 
-def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
-    """One row, one column ``value``: the smallest value whose cumulative share reaches ``q``."""
-    total = df.agg(F.count(value)).scalar()
-    placed = counts_before(df, [], value)
-    return placed.filter(F.col("n_before") + F.col("n") >= total * F.lit(q)).agg(
-        F.min(value).alias(value)
-    )
+def exact_quantile(
+    df: DataFrame,
+    value: str,
+    q: float,
+    buckets: int = DEFAULT_BUCKETS,
+    small: int = 100_000,
+):
+    """The smallest value whose cumulative share reaches ``q``; None without values.
+
+    Each round counts rows per bucket (a partial aggregate, no shuffle of rows) and goes
+    on with the one bucket that holds the answer, so the column is read a few times and
+    never sorted. Only the last, small part is ordered.
+    """
+    part = df.select(value).filter(F.col(value).isNotNull())
+    size = part.count()
+    if not size:
+        return None
+    place = max(math.ceil(size * q), 1)
+    while size > small:
+        bounds = _bounds(part, value, buckets)
+        counted = part.groupBy(F.expr(_place(value, bounds)).alias("p")).count()
+        # At most two rows per bucket.
+        for row in sorted(counted.collect()):
+            if place <= row["count"]:
+                break
+            place -= row["count"]
+        index, is_bound = divmod(row["p"], 2)
+        if is_bound:
+            return bounds[index]
+        if index > 0:
+            part = part.filter(F.col(value) > F.lit(bounds[index - 1]))
+        if index < len(bounds):
+            part = part.filter(F.col(value) < F.lit(bounds[index]))
+        size = row["count"]
+    return part.orderBy(value).offset(place - 1).limit(1).first()[0]
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

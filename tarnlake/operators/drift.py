@@ -20,8 +20,8 @@ def severity(psi: Column) -> Column:
 
 def half_flag(df: DataFrame, order: str) -> DataFrame:
     """Adds ``is_reference``: rows up to the median of the order column."""
-    middle = exact_quantile(df, order, 0.5).scalar()
-    return df.withColumn("is_reference", F.col(order) <= middle)
+    middle = exact_quantile(df, order, 0.5)
+    return df.withColumn("is_reference", F.col(order) <= F.lit(middle))
 
 
 def numeric_features(df: DataFrame, leave_out: Sequence[str] = ()) -> list[str]:

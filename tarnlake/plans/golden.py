@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.functions.ordered import first_per_key, rank_split, top_per_key
+from tarnlake.functions.ordered import rank_split, top_per_key
 from tarnlake.functions.scoring import contains_flags, decade, weighted_rating
 from tarnlake.plans.registry import query, table
+from tarnlake.session import reliable_checkpoint
 
 PRIOR_VOTES, PRIOR_MEAN = 25.0, 2.5
 BRANDS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6", "Brand#7"]
@@ -31,9 +32,9 @@ def part_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lead_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One supplier per part, the lowest key."""
-    credits = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    return first_per_key(credits, ["l_partkey"], [F.asc("l_suppkey")])
+    """One supplier per part, the lowest key: a minimum, so nothing needs sorting."""
+    credits = table(spark, sf_dir, "lineitem")
+    return credits.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
 
 
 def scored_parts(spark: SparkSession, sf_dir: str, min_votes: int) -> DataFrame:
@@ -214,8 +215,10 @@ def explode_words(spark, sf_dir):
 def weighted_rank(spark, sf_dir):
     leads = lead_suppliers(spark, sf_dir).withColumnRenamed("l_partkey", "lead_part")
     supplier = table(spark, sf_dir, "supplier")
-    scored = scored_parts(spark, sf_dir, 10).select(
-        "p_partkey", "p_name", "p_brand", "vote_count", "weighted_rating"
+    scored = reliable_checkpoint(
+        scored_parts(spark, sf_dir, 10).select(
+            "p_partkey", "p_name", "p_brand", "vote_count", "weighted_rating"
+        )
     )
     ranked = rank_split(scored, [], "weighted_rating", "global_rank")
     ranked = rank_split(ranked, ["p_brand"], "weighted_rating", "brand_rank")

@@ -353,7 +353,8 @@ def global_rank(spark, sf_dir):
     "SELECT quantile_disc(l_extendedprice, 0.5) AS l_extendedprice FROM lineitem",
 )
 def exact_median(spark, sf_dir):
-    return exact_quantile(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.5)
+    middle = exact_quantile(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.5)
+    return spark.createDataFrame([(middle,)], "l_extendedprice double")
 
 
 @query(

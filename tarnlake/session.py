@@ -20,6 +20,7 @@ RUNTIME_CONF = {
 def build_session(app: str = "tarnlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's defaults; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     for key, value in RUNTIME_CONF.items():

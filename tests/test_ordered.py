@@ -36,14 +36,15 @@ def test_rank_split_matches_brute_force(spark, partitions):
     data, df = make(spark, 900)
     for descending in (True, False):
         want = brute_rank(data, descending)
-        for _ in partitions():
-            got = rank_split(df.repartition(5), ["k"], "v", "r", descending, buckets=7)
+        for width in partitions():
+            n = 0 if width == "8" else 10**6
+            got = rank_split(df.repartition(5), ["k"], "v", "r", descending, buckets=7, small=n)
             assert {r["id"]: r["r"] for r in got.collect()} == want
 
 
 def test_global_rank_equals_window_rank(spark):
     data, df = make(spark)
-    got = {r["id"]: r["r"] for r in rank_split(df, [], "v", "r").collect()}
+    got = {r["id"]: r["r"] for r in rank_split(df, [], "v", "r", small=0).collect()}
     want = {i: 1 + sum(1 for _, _, w in data if w > v) for i, _, v in data}
     assert got == want
 
@@ -65,7 +66,18 @@ def test_exact_quantile(spark):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         ordered = sorted(values)
         want = ordered[-(-len(ordered) // 2) - 1]
-        assert exact_quantile(df, "v", 0.5).first()["v"] == want
+        assert exact_quantile(df, "v", 0.5) == want
+        assert exact_quantile(df, "v", 0.5, buckets=4, small=1) == want
+
+
+def test_exact_quantile_of_whole_numbers_and_ends(spark):
+    data = [(n * n % 997,) for n in range(5000)]
+    df = spark.createDataFrame(data, "v bigint")
+    ordered = sorted(v for v, in data)
+    for q in (0.0, 0.1, 0.9, 1.0):
+        want = ordered[max(-(-int(5000 * q * 1000) // 1000), 1) - 1]
+        assert exact_quantile(df, "v", q, buckets=8, small=10) == want
+    assert exact_quantile(df.limit(0), "v", 0.5) is None
 
 
 def test_first_and_top_per_key(spark, partitions):
