@@ -7,6 +7,7 @@ are ordered across buckets, so the sort work of a hot group is spread out.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnlake.session import reliable_checkpoint
+
 DEFAULT_BUCKETS = 64
-# Distinct values that one task orders comfortably.
+# Distinct values, and rows of one key, that one task orders comfortably.
 SMALL = 1_000_000
+HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -101,20 +106,52 @@ def counts_before(
     )
 
 
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys with more than ``hot_rows`` rows or None).
+
+    One partial aggregate over the key columns finds the hot keys. There are at most
+    ``rows / hot_rows`` of them; their number is checked before they are broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = reliable_checkpoint(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    found = hot.count()
+    if not found:
+        return df, None
+    side = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+    same = functools.reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    )
+    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
+
+
 def rank_split(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     out: str,
     descending: bool = True,
+    hot_rows: int = HOT_ROWS,
     buckets: int = DEFAULT_BUCKETS,
     small: int = SMALL,
 ) -> DataFrame:
-    """``RANK()`` per key (or global with no keys) of a not-null value, without a one-task sort."""
-    ranks = counts_before(df, keys, value, descending, buckets, small).select(
-        *keys, value, (F.col("n_before") + 1).alias(out)
-    )
-    return null_safe_join(df, ranks, [*keys, value], "inner")
+    """``RANK()`` per key, or over everything with no keys; null values have no rank.
+
+    Ordinary keys take one window. Hot keys, and the global rank, are ranked through
+    counts per distinct value, so no task orders a whole hot group.
+    """
+    cold, hot = split_hot(df, keys, hot_rows) if keys else (None, df)
+    parts = []
+    if cold is not None:
+        order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
+        rank = F.rank().over(W.partitionBy(*keys).orderBy(order)).cast("bigint")
+        parts.append(cold.withColumn(out, F.when(F.col(value).isNotNull(), rank)))
+    if hot is not None:
+        places = counts_before(hot, keys, value, descending, buckets, small)
+        places = places.select(*keys, value, (F.col("n_before") + 1).alias(out))
+        parts.append(null_safe_join(hot, places, [*keys, value], "left"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def exact_quantile(

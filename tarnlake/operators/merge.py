@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnlake.functions.ordered import first_per_key, null_safe_join
+from tarnlake.functions.ordered import HOT_ROWS, first_per_key, null_safe_join, split_hot
 
 FROM, TO, CURRENT = "effective_from", "effective_to", "is_current"
 
@@ -44,19 +44,48 @@ def scd2_history(
     ts: str,
     tracked: Sequence[str],
     bucket_unit: str = "month",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Version rows of a change log: pk, tracked columns, effective_from/to, is_current.
 
     A change that leaves the tracked columns as they were makes no version. The version
-    ends where the next one starts. Keys are primary keys, so never null. A key's log is
-    ordered in time buckets (``bucket_unit``), so a key with very many changes is still
-    worked on by many tasks.
+    ends where the next one starts. Keys are primary keys, so never null. Keys with very
+    many changes (``hot_rows``) are ordered in time buckets, so many tasks share them.
     """
-    pk, state = list(pk), F.struct(*tracked)
+    pk = list(pk)
+
+    def moments(rows: DataFrame) -> DataFrame:
+        # Several rows of one key at one time: the greatest state stands for the moment.
+        state = F.max(F.struct(*tracked)).alias("_state")
+        return rows.groupBy(*pk, F.col(ts).alias("_at")).agg(state)
+
+    cold, hot = split_hot(changes, pk, hot_rows)
+    versions = _versions(moments(cold), pk)
+    if hot is not None:
+        versions = versions.unionByName(_versions_in_buckets(moments(hot), pk, bucket_unit))
+    return versions.select(
+        *pk,
+        *[F.col("_state")[c].alias(c) for c in tracked],
+        F.col("_at").alias(FROM),
+        F.col("_ends").alias(TO),
+        F.col("_ends").isNull().alias(CURRENT),
+    )
+
+
+def _versions(log: DataFrame, pk: list[str]) -> DataFrame:
+    """``pk, _at, _state, _ends`` of the rows that start a version."""
+    w = W.partitionBy(*pk).orderBy("_at")
+    before = F.col("_before")
+    starts = log.withColumn("_before", F.lag("_state").over(w)).filter(
+        before.isNull() | ~before.eqNullSafe(F.col("_state"))
+    )
+    return starts.select(*pk, "_at", "_state", F.lead("_at").over(w).alias("_ends"))
+
+
+def _versions_in_buckets(log: DataFrame, pk: list[str], unit: str) -> DataFrame:
+    """The same for hot keys: rows are ordered inside ``(pk, bucket)`` only."""
     cell = [*pk, "_bucket"]
-    # Several rows of one key at one time: the greatest state stands for the moment.
-    log = changes.groupBy(*pk, F.col(ts).alias("_at")).agg(F.max(state).alias("_state"))
-    log = log.withColumn("_bucket", F.date_trunc(bucket_unit, "_at"))
+    log = log.withColumn("_bucket", F.date_trunc(unit, "_at"))
     inside = W.partitionBy(*cell).orderBy("_at")
     log = log.withColumn("_before", F.lag("_state").over(inside))
     differs = F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col("_state"))
@@ -78,17 +107,10 @@ def scd2_history(
     later = along.rowsBetween(1, W.unboundedFollowing)
     edges = edges.select(*cell, "_carried", F.min("_starts").over(later).alias("_next_bucket"))
 
-    versions = log.join(edges, cell)
     before = F.coalesce("_before", "_carried")
-    versions = versions.filter(before.isNull() | ~before.eqNullSafe(F.col("_state")))
+    starts = log.join(edges, cell).filter(before.isNull() | ~before.eqNullSafe(F.col("_state")))
     ends = F.coalesce(F.lead("_at").over(inside), F.col("_next_bucket"))
-    return versions.select(
-        *pk,
-        *[F.col("_state")[c].alias(c) for c in tracked],
-        F.col("_at").alias(FROM),
-        ends.alias(TO),
-        ends.isNull().alias(CURRENT),
-    )
+    return starts.select(*pk, "_at", "_state", ends.alias("_ends"))
 
 
 def scd2_merge(

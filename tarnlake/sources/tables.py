@@ -147,20 +147,13 @@ def compact(
     if before["files"] < 2:
         return None
     wanted = max(1, math.ceil(before["bytes"] / target_bytes))
-    packing = {
-        "spark.sql.files.maxPartitionBytes": str(math.ceil(before["bytes"] / wanted) + 1),
-        "spark.sql.files.openCostInBytes": "0",
-        "spark.sql.files.minPartitionNum": str(wanted),
-    }
+    # Settings of a session of its own, so the caller's stay as they are.
+    packer = spark.newSession()
+    packer.conf.set("spark.sql.files.maxPartitionBytes", math.ceil(before["bytes"] / wanted) + 1)
+    packer.conf.set("spark.sql.files.openCostInBytes", 0)
+    packer.conf.set("spark.sql.files.minPartitionNum", wanted)
     fresh = f"{path}__new_{uuid.uuid4().hex[:8]}"
-    kept = {k: spark.conf.get(k, None) for k in packing}
-    try:
-        for key, value in packing.items():
-            spark.conf.set(key, value)
-        write_table(spark.read.parquet(path), fresh, partition_by=partition_by)
-    finally:
-        for key, value in kept.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    write_table(packer.read.parquet(path), fresh, partition_by=partition_by)
     if checksum(spark.read.parquet(path)) != checksum(spark.read.parquet(fresh)):
         remove_path(spark, fresh)
         raise RuntimeError(f"compaction of {path} changed its content; the table is untouched")

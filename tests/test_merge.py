@@ -38,13 +38,15 @@ def test_unchanged_rows_make_no_version(spark):
 
 def test_bucket_size_does_not_matter(spark):
     data = [(k, "xyz"[(n * k) % 3], day(1 + n % 28, 1 + n % 12)) for k in range(4) for n in range(60)]
-    results = [plain(history(spark, data, bucket_unit=u)) for u in ("day", "month", "year")]
-    assert results[0] == results[1] == results[2]
+    results = [plain(history(spark, data))]
+    results += [plain(history(spark, data, bucket_unit=u, hot_rows=9)) for u in ("day", "month", "year")]
+    assert all(r == results[0] for r in results)
 
 
 def test_null_states_are_versions_too(spark):
-    got = history(spark, [(1, None, day(1)), (1, None, day(2)), (1, "a", day(3, 4))])
-    assert got.count() == 2
+    data = [(1, None, day(1)), (1, None, day(2)), (1, "a", day(3, 4))]
+    for hot_rows in (0, 100):
+        assert history(spark, data, hot_rows=hot_rows).count() == 2
 
 
 def test_merge_applies_rejects_and_repeats(spark):

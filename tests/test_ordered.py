@@ -38,7 +38,10 @@ def test_rank_split_matches_brute_force(spark, partitions):
         want = brute_rank(data, descending)
         for width in partitions():
             n = 0 if width == "8" else 10**6
-            got = rank_split(df.repartition(5), ["k"], "v", "r", descending, buckets=7, small=n)
+            # 100 rows make a key hot, so both ways of ranking run side by side.
+            got = rank_split(
+                df.repartition(5), ["k"], "v", "r", descending, hot_rows=100, buckets=7, small=n
+            )
             assert {r["id"]: r["r"] for r in got.collect()} == want
 
 
@@ -53,7 +56,10 @@ def test_rank_with_null_keys_keeps_rows(spark):
     df = spark.createDataFrame(
         [(1, None, 2.0), (2, None, 3.0), (3, "a", 1.0)], "id int, k string, v double"
     )
-    assert rows(rank_split(df, ["k"], "v", "r").select("id", "r")) == [(1, 2), (2, 1), (3, 1)]
+    df = df.unionByName(spark.createDataFrame([(4, None, None)], df.schema))
+    for hot_rows in (0, 100):
+        got = rank_split(df, ["k"], "v", "r", hot_rows=hot_rows).select("id", "r")
+        assert rows(got) == [(1, 2), (2, 1), (3, 1), (4, None)]
 
 
 def test_counts_on_empty_input(spark):
