@@ -32,12 +32,15 @@ def advance_watermarks(state: DataFrame, reached: DataFrame) -> DataFrame:
 def after_watermark(df: DataFrame, ts: str, mark, lateness: str | None = None) -> DataFrame:
     """Rows later than the mark; ``lateness`` (an interval) rereads that much before it.
 
-    ``mark`` is a literal or scalar column; a null mark keeps every row.
+    ``mark`` is a time or its text; None keeps every row. The filter compares the column
+    with a constant of its own type, so it reaches the scan.
     """
-    mark = mark if isinstance(mark, Column) else F.lit(mark).cast(df.schema[ts].dataType)
+    if mark is None:
+        return df
+    limit = F.lit(mark).cast(df.schema[ts].dataType)
     if lateness:
-        mark = mark - F.expr(f"INTERVAL {lateness}")
-    return df.filter(mark.isNull() | (F.col(ts) > mark))
+        limit = limit - F.expr(f"INTERVAL {lateness}")
+    return df.filter(F.col(ts) > limit)
 
 
 def drop_seen(

@@ -114,9 +114,12 @@ class Runner:
         df = self._input(pipeline.source)
         incremental = pipeline.fetch_mode == "incremental"
         if incremental:
-            mark = self.watermarks().filter(F.col("source") == name).agg(F.max("watermark"))
-            df = df.withColumn(pipeline.watermark_col, F.col(pipeline.watermark_col).cast("timestamp"))
-            df = after_watermark(df, pipeline.watermark_col, mark.scalar())
+            column = pipeline.watermark_col
+            if dict(df.dtypes)[column] not in ("timestamp", "timestamp_ntz", "date"):
+                df = df.withColumn(column, F.col(column).cast("timestamp"))
+            held = self.watermarks().filter(F.col("source") == name)
+            # One value, compared in the column's own type, so the scan can skip row groups.
+            df = after_watermark(df, column, held.agg(F.max("watermark")).first()[0])
             seen = self.hashes().filter(F.col("source") == name)
             df = drop_seen(df, seen)
         counted = Observation(f"in_{name}_{time.time_ns()}")
@@ -146,6 +149,7 @@ class Runner:
         hashes = batch.select(F.lit(pipeline.name).alias("source"), "content_hash")
         write_table(hashes, f"{self.state}/hashes", mode="append")
         reached = batch_watermarks(batch, pipeline.name, pipeline.watermark_col)
+        reached = reached.withColumn("watermark", F.col("watermark").cast("timestamp"))
         replace_table(advance_watermarks(self.watermarks(), reached), f"{self.state}/watermarks")
         rows_out = self._count(pipeline) - before
         self._record(pipeline, counted.get["n"], rows_out)

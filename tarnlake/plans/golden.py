@@ -20,23 +20,21 @@ BILLED = 5
 
 
 def part_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes and mean rating (price in ten thousands) per part."""
+    """Votes, mean rating (price in ten thousands) and lead supplier (lowest key) per part.
+
+    The one supplier per part is a minimum, so it comes out of the same aggregate.
+    """
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey")
         .agg(
             F.count("*").alias("vote_count"),
             (F.avg("l_extendedprice") / 10000).alias("rating"),
+            F.min("l_suppkey").alias("lead_supplier"),
         )
     )
 
 
-def lead_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One supplier per part, the lowest key: a minimum, so nothing needs sorting."""
-    credits = table(spark, sf_dir, "lineitem")
-    return credits.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
-
-
 def scored_parts(spark: SparkSession, sf_dir: str, min_votes: int) -> DataFrame:
     part = table(spark, sf_dir, "part")
     ratings = part_ratings(spark, sf_dir).filter(F.col("vote_count") >= min_votes)
@@ -213,21 +211,18 @@ def explode_words(spark, sf_dir):
     """,
 )
 def weighted_rank(spark, sf_dir):
-    leads = lead_suppliers(spark, sf_dir).withColumnRenamed("l_partkey", "lead_part")
     supplier = table(spark, sf_dir, "supplier")
     scored = reliable_checkpoint(
-        scored_parts(spark, sf_dir, 10).select(
-            "p_partkey", "p_name", "p_brand", "vote_count", "weighted_rating"
+        scored_parts(spark, sf_dir, 10)
+        .join(supplier, F.col("lead_supplier") == F.col("s_suppkey"), "left")
+        .select(
+            "p_partkey", "p_name", "p_brand", "vote_count", "weighted_rating",
+            F.col("s_name").alias("supplier_name"),
         )
-    )
+    )
     ranked = rank_split(scored, [], "weighted_rating", "global_rank")
     ranked = rank_split(ranked, ["p_brand"], "weighted_rating", "brand_rank")
-    return (
-        ranked.join(leads, F.col("p_partkey") == F.col("lead_part"), "left")
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        .select(*ranked.columns, F.col("s_name").alias("supplier_name"))
-        .orderBy("global_rank")
-    )
+    return ranked.orderBy("global_rank")
 
 
 @query(
@@ -351,7 +346,6 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     items = table(spark, sf_dir, "lineitem")
     ratings = part_ratings(spark, sf_dir).filter("vote_count >= 5")
-    leads = lead_suppliers(spark, sf_dir).select(F.col("l_partkey").alias("lead_part"), "l_suppkey")
     by_supplier = items.groupBy(F.col("l_suppkey").alias("supp")).agg(
         F.round(F.avg("l_extendedprice") / 10000, 3).alias("avg_rating"),
         F.count_distinct("l_partkey").alias("n_parts"),
@@ -361,8 +355,7 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         part.join(ratings, F.col("p_partkey") == F.col("l_partkey"))
         .drop("l_partkey")
-        .join(leads, F.col("p_partkey") == F.col("lead_part"), "left")
-        .join(by_supplier, F.col("l_suppkey") == F.col("supp"), "left")
+        .join(by_supplier, F.col("lead_supplier") == F.col("supp"), "left")
         .select(
             "p_partkey",
             "p_name",

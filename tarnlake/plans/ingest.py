@@ -427,9 +427,9 @@ def watermark_advance(spark, sf_dir):
 def incremental_load(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     mark = events.filter((F.col("event_type") == "signup") & (F.col("ts") < _mark())).agg(
-        F.max("ts")
+        F.max("ts").cast("string")
     )
-    return after_watermark(events, "ts", mark.scalar(), lateness="2 HOURS").select(
+    return after_watermark(events, "ts", mark.first()[0], lateness="2 HOURS").select(
         "event_id", "user_id"
     )
 
@@ -481,7 +481,7 @@ def _replayed(spark, sf_dir, clear_hashes: bool):
     marks = batch_watermarks(loaded, "events", "ts")
     hashes = loaded.select("source", row_hash(loaded, content).alias("content_hash"))
     marks, hashes = reset_source(marks, hashes, "events", clear_hashes)
-    mark = marks.filter("source = 'events'").agg(F.max("watermark")).scalar()
+    mark = marks.filter("source = 'events'").agg(F.max("watermark").cast("string")).first()[0]
     todo = after_watermark(events, "ts", mark)
     return drop_seen(todo, hashes, content).select(*content)
 

@@ -178,6 +178,18 @@ def test_incremental_load_twice_and_backfill(spark, tmp_path):
     assert rows(runner.lake.read("bronze_feed").select("n")) == [(1,), (2,), (3,), (9,)]
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "string", "date"])
+def test_incremental_load_of_other_time_types(spark, tmp_path, kind):
+    path = str(tmp_path / "feed")
+    runner = incremental_runner(spark, path)
+    for n in (1, 2):
+        spark.sql(f"SELECT {n} AS n, CAST(TIMESTAMP'2024-01-0{n}' AS {kind}) AS ts").write.mode(
+            "append"
+        ).parquet(path)
+        assert runner.run("load")["rows_out"] == 1
+    assert runner.watermarks().first()["watermark"] == dt.datetime(2024, 1, 2)
+
+
 def test_project_files(tmp_path):
     raw = {"sources": {"a": {"type": "csv", "path": "x"}}, "pipelines": {"p": {"source": "a"}}}
     path = tmp_path / "project.json"
