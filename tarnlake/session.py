@@ -38,7 +38,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def _shared_root(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -96,10 +96,8 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     class Context:
         master = "yarn"
 
-        def getConf(self):
-            return Conf()
-
     class Session:
+        conf = Conf()
         sparkContext = Context()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
