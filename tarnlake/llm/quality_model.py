@@ -122,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         weights = model.weights(slice(None)).astype("<f4").tobytes()
         yield pa.RecordBatch.from_pydict({"weights": [weights]}, pa.schema([("weights", pa.binary())]))
 
-    return rows.repartition(1).sortWithinPartitions("_o").mapInArrow(train, "weights binary").first()[0]
+    fitted = rows.repartition(1).sortWithinPartitions("_o").mapInArrow(train, "weights binary").first()
+    return fitted[0] if fitted else bytes(4 * (PLACES + 1))
 
 
 def held_out(doc_id: str, folds: int = 5):
