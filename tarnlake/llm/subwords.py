@@ -8,7 +8,9 @@ import re
 import numpy as np
 
 #: Words kept per worker process; the memory starts anew beyond.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
+#: A mark that the tokenizer file knows as one id and cuts out before all else.
+BORDER = "<|endoftext|>"
 #: Characters that Python's split takes for space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -26,18 +28,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.border = self.tokenizer.token_to_id(BORDER)
         self.known: dict = {}
 
     def learn(self, words: set) -> None:
-        new = [w for w in words if w not in self.known]
+        new = list(words - self.known.keys())
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
             new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            texts = [w.decode("utf-8", "replace") if isinstance(w, bytes) else w for w in part]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        plain = [w for w in new if (BORDER.encode() if isinstance(w, bytes) else BORDER) not in w]
+        # Many words in one call, set apart by a mark that is an id of its own.
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            text = (BORDER.encode() if isinstance(part[0], bytes) else BORDER).join(part)
+            ids = self.ids(text)
+            cuts = np.flatnonzero(ids == self.border)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer file has no mark of its own between words")
+            edges = np.concatenate([[-1], cuts, [len(ids)]]).tolist()
+            raw = ids.tobytes()
+            for k, w in enumerate(part):
+                self.known[w] = raw[4 * edges[k] + 4 : 4 * edges[k + 1]]
+        if len(plain) < len(new):
+            for w in set(new).difference(plain):
+                self.known[w] = self.ids(w).tobytes()
+
+    def ids(self, text: str | bytes) -> np.ndarray:
+        text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def split_ids(self, split: list[list]) -> list[np.ndarray]:
         """Ids of texts already split into words."""
