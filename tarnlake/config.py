@@ -48,6 +48,7 @@ class Pipeline:
     fetch_mode: str = "full"
     watermark_col: str | None = None
     partition_by: Sequence[str] = ()
+    lateness: str | None = None
 
     @property
     def target(self) -> str:
@@ -74,6 +75,13 @@ class Project:
     pipelines: Mapping[str, Pipeline]
 
 
+def _names(value: str | Sequence[str] | None) -> tuple[str, ...]:
+    """A list of names, or names in one text set apart by commas."""
+    if isinstance(value, str):
+        return tuple(n for n in map(str.strip, value.split(",")) if n)
+    return tuple(value or ())
+
+
 def _pipeline(name: str, raw: Mapping[str, Any]) -> Pipeline:
     gate = dict(raw.get("quality") or {})
     known = {k: gate[k] for k in ("completeness", "row_count_min", "custom_sql") if k in gate}
@@ -81,14 +89,15 @@ def _pipeline(name: str, raw: Mapping[str, Any]) -> Pipeline:
         name=name,
         source=raw["source"],
         transforms=tuple(raw.get("transforms") or ()),
-        quality=Quality(uniqueness=tuple(gate.get("uniqueness") or ()), **known),
+        quality=Quality(uniqueness=_names(gate.get("uniqueness")), **known),
         destination=raw.get("destination"),
         layer=(raw.get("target") or {}).get("layer"),
-        depends_on=tuple(raw.get("depends_on") or ()),
+        depends_on=_names(raw.get("depends_on")),
         schedule=raw.get("schedule"),
         fetch_mode=raw.get("fetch_mode", "full"),
         watermark_col=raw.get("watermark_col"),
-        partition_by=tuple(raw.get("partition_by") or ()),
+        partition_by=_names(raw.get("partition_by")),
+        lateness=raw.get("lateness"),
     )
 
 

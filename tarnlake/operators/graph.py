@@ -6,13 +6,13 @@ stay short and a lost executor costs no replay of earlier rounds.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.session import reliable_checkpoint
 
-MAX_ROUNDS = 10_000
-
 
 def longest_depth(edges: DataFrame) -> DataFrame:
     """``(node, depth)``: the longest path from a root. A cycle is an error.
@@ -27,7 +27,7 @@ def longest_depth(edges: DataFrame) -> DataFrame:
     )
     waiting = reliable_checkpoint(nodes)
     levels = None
-    for depth in range(MAX_ROUNDS):
+    for depth in itertools.count():
         blocked = edges.select(F.col("child").alias("node")).distinct()
         ready = reliable_checkpoint(waiting.join(blocked, "node", "left_anti"))
         if ready.isEmpty():
@@ -58,7 +58,7 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str) -> DataFrame:
     seen = reliable_checkpoint(frontier.withColumn("distance", F.lit(0).cast("bigint")))
     frontier = seen
     found = None
-    for distance in range(1, MAX_ROUNDS):
+    for distance in itertools.count(1):
         step = (
             frontier.join(hops, "node")
             .select("start", F.col("_to").alias("node"))

@@ -32,7 +32,7 @@ def advance_watermarks(state: DataFrame, reached: DataFrame) -> DataFrame:
 def after_watermark(df: DataFrame, ts: str, mark, lateness: str | None = None) -> DataFrame:
     """Rows later than the mark; ``lateness`` (an interval) rereads that much before it.
 
-    ``mark`` is a time or its text; None keeps every row. The filter compares the column
+    Rows without a time are always read; the content hashes tell which are new. ``mark`` is a time or its text; None keeps every row. The filter compares the column
     with a constant of its own type, so it reaches the scan.
     """
     if mark is None:
@@ -40,7 +40,7 @@ def after_watermark(df: DataFrame, ts: str, mark, lateness: str | None = None) -
     limit = F.lit(mark).cast(df.schema[ts].dataType)
     if lateness:
         limit = limit - F.expr(f"INTERVAL {lateness}")
-    return df.filter(F.col(ts) > limit)
+    return df.filter((F.col(ts) > limit) | F.col(ts).isNull())
 
 
 def drop_seen(

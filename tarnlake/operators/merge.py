@@ -123,7 +123,7 @@ def scd2_merge(
     """(new target, rejected changes) after applying a batch to a version table.
 
     Closed versions and keys without changes pass through untouched. Changes not newer
-    than the key's open version are rejected. Several changes of a key become
+    than the key's open version, and changes without a time, are rejected. Several changes of a key become
     consecutive versions.
     """
     pk, tracked = list(pk), list(tracked)
@@ -131,7 +131,7 @@ def scd2_merge(
     opened = target.filter(F.col(CURRENT))
     starts = opened.select(*pk, F.col(FROM).alias("_open_from"))
     placed = null_safe_join(batch, starts, pk, "left")
-    late = F.col("_open_from").isNotNull() & (F.col(ts) <= F.col("_open_from"))
+    late = F.col(ts).isNull() | F.coalesce(F.col(ts) <= F.col("_open_from"), F.lit(False))
     rejected = placed.filter(late).drop("_open_from")
     accepted = placed.filter(~late).drop("_open_from")
     keys = accepted.select(*pk).distinct()

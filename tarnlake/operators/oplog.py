@@ -186,28 +186,29 @@ def health_overlay(runs: DataFrame, recent: int = 20) -> DataFrame:
     )
 
 
-def alert_rules(drift: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
-    """``name, condition, severity, state``: armed drift monitors and failed jobs.
+def alert_rules(scores: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rule, subject, detail, severity, state``: one rule per drift score and per job that ended badly.
 
-    ``drift`` has one ``feature`` per monitor.
+    ``scores`` comes from the drift operator. A drift rule fires where its score passed the monitor's
+    threshold and is quiet otherwise; its severity is the score's band.
     """
-    monitors = drift.select(
-        F.concat(F.lit("drift."), "feature").alias("name"),
-        F.concat(F.lit("PSI("), "feature", F.lit(f") > {threshold}")).alias("condition"),
-        F.lit("med").alias("severity"),
-        F.lit("armed").alias("state"),
-    )
-    failures = (
-        last_status(runs)
-        .filter("status = 'failed'")
-        .select(
-            F.concat(F.lit("job.failure."), "job").alias("name"),
-            F.concat(F.lit("job '"), "job", F.lit("' last run failed")).alias("condition"),
-            F.lit("high").alias("severity"),
+    drifting = scores.select(
+        F.lit("feature_drift").alias("rule"),
+        F.col("feature").alias("subject"),
+        F.concat(F.lit("population stability index "), F.col("psi").cast("string")).alias("detail"),
+        "severity",
+        F.when(F.col("drift_detected"), "firing").otherwise("quiet").alias("state"),
+    )
+    broken = last_status(runs).filter("status = 'failed'")
+    return drifting.unionByName(
+        broken.select(
+            F.lit("job_broken").alias("rule"),
+            F.col("job").alias("subject"),
+            F.lit("newest run did not succeed").alias("detail"),
+            F.lit("critical").alias("severity"),
             F.lit("firing").alias("state"),
         )
     )
-    return monitors.unionByName(failures)
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

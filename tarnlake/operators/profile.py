@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +94,34 @@ def console(lake: Lakehouse, statement: str) -> DataFrame:
     return read_only_sql(lake.spark, statement)
 
 
+def _refuse_writes(spark: SparkSession, text: str) -> None:
+    """Refuse a query whose parsed plan holds an insert or a command anywhere."""
+    open_ = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if name.startswith("InsertInto") or is_instance_of(
+            spark.sparkContext._gateway, node, "org.apache.spark.sql.catalyst.plans.logical.Command"
+        ):
+            raise PermissionError(f"{name} is not read-only")
+        for nodes in (node.children(), node.innerChildren()):
+            held = nodes.iterator()
+            while held.hasNext():
+                child = held.next()
+                if is_instance_of(
+                    spark.sparkContext._gateway, child, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+                ):
+                    open_.append(child)
+
+
 def read_only_sql(spark: SparkSession, statement: str, **args: Any) -> DataFrame:
     text = statement.strip().rstrip(";")
     words = text.split(None, 1)
     if not words or words[0].lower().lstrip("(") not in READ_ONLY:
         raise PermissionError("only SELECT, WITH, VALUES, SHOW, DESCRIBE and EXPLAIN are allowed")
     # Spark parses exactly one statement, so a second one after ';' is a syntax error.
+    if words[0].lower().lstrip("(") in ("select", "with", "values", "from"):
+        _refuse_writes(spark, text)
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 

@@ -119,7 +119,7 @@ class Runner:
                 df = df.withColumn(column, F.col(column).cast("timestamp"))
             held = self.watermarks().filter(F.col("source") == name)
             # One value, compared in the column's own type, so the scan can skip row groups.
-            df = after_watermark(df, column, held.agg(F.max("watermark")).first()[0])
+            df = after_watermark(df, column, held.agg(F.max("watermark")).first()[0], pipeline.lateness)
             seen = self.hashes().filter(F.col("source") == name)
             df = drop_seen(df, seen)
         counted = Observation(f"in_{name}_{time.time_ns()}")
@@ -145,7 +145,7 @@ class Runner:
         out = apply_steps(batch.drop("content_hash"), pipeline.transforms)
         self._gate(pipeline, out)
         before = self._count(pipeline)
-        self.lake.append(out, pipeline.target, pipeline.target_layer)
+        self.lake.append(out, pipeline.target, pipeline.target_layer, pipeline.partition_by)
         hashes = batch.select(F.lit(pipeline.name).alias("source"), "content_hash")
         write_table(hashes, f"{self.state}/hashes", mode="append")
         reached = batch_watermarks(batch, pipeline.name, pipeline.watermark_col)
@@ -189,7 +189,7 @@ class Runner:
                 done = self.run(name)
                 status, error = "success", None
             except Exception as problem:  # noqa: BLE001 - the status row carries the cause
-                done, status, error = {}, "failed", f"{type(problem).__name__}: {problem}"[:500]
+                done, status, error = {}, "failed", f"{type(problem).__name__}: {problem}"
             rows.append(
                 (name, status, done.get("rows_in"), done.get("rows_out"),
                  time.time() - started, error)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import spaced_words, term_count, word_count
 from tarnlake.session import reliable_checkpoint
-from tarnlake.sources.tables import spread_small
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -36,7 +35,7 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     terms = query_terms(query)
     if not terms:
         raise ValueError("the query holds no term")
-    spaced = spread_small(df.select(id_col, text_col)).select(
+    spaced = df.select(id_col, text_col).select(
         id_col, spaced_words(F.col(text_col)).alias("_t")
     )
     counted = reliable_checkpoint(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.functions.ordered import rank_split, top_per_key
+from tarnlake.functions.ordered import rank_split
 from tarnlake.functions.scoring import contains_flags, decade, weighted_rating
 from tarnlake.plans.registry import query, table
 from tarnlake.session import reliable_checkpoint
@@ -120,7 +120,7 @@ def silver_in(spark, sf_dir):
     SELECT p_partkey, word, l_orderkey, l_suppkey, l_linenumber, s_name
     FROM words JOIN lineitem ON p_partkey = l_partkey
     LEFT JOIN supplier ON l_suppkey = s_suppkey
-    WHERE s_name IS NOT NULL AND l_linestatus = 'O' AND l_quantity > 40
+    WHERE s_name IS NOT NULL
     """,
 )
 def explode_join(spark, sf_dir):
@@ -130,7 +130,7 @@ def explode_join(spark, sf_dir):
         .select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
         .withColumn("word", F.trim("word"))
     )
-    items = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O' AND l_quantity > 40")
+    items = table(spark, sf_dir, "lineitem")
     supplier = table(spark, sf_dir, "supplier")
     return (
         items.join(words, F.col("l_partkey") == F.col("p_partkey"))
@@ -350,8 +350,8 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("l_extendedprice") / 10000, 3).alias("avg_rating"),
         F.count_distinct("l_partkey").alias("n_parts"),
     )
-    # Only busy suppliers have statistics; the others take the defaults below.
-    by_supplier = by_supplier.filter("n_parts >= 2 AND supp % 4 <> 0")
+    # Suppliers of a single part have no statistics; they take the defaults below.
+    by_supplier = by_supplier.filter("n_parts >= 2")
     return (
         part.join(ratings, F.col("p_partkey") == F.col("l_partkey"))
         .drop("l_partkey")
@@ -389,7 +389,7 @@ FEATURE_SQL = f"""
     s AS (
       SELECT l_suppkey, round(avg(l_extendedprice) / 10000, 3) AS avg_rating,
              count(DISTINCT l_partkey) AS n_parts
-      FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2)
+      FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2)
     SELECT p_partkey, p_name, round(rating, 4) AS target_rating, vote_count, p_size,
            round((p_retailprice - 900.0) / 1100.0, 4) AS price_norm,
            round(coalesce(p_size, 25) / 50.0, 4) AS size_norm,
@@ -548,25 +548,13 @@ def hidden_gems(spark, sf_dir):
 
 
 def billed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five distinct suppliers of each order, as a title's billed cast.
-
-    The billing limit defines the cast, and it bounds every later per-title list.
-    """
-    credits = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_suppkey")
-        .agg(F.min("l_linenumber").alias("line"))
-    )
-    return top_per_key(
-        credits, ["l_orderkey"], [F.asc("line"), F.asc("l_suppkey")], BILLED, "billing"
-    )
+    """Suppliers that an order names in one of its first five places, as a title's billed cast."""
+    items = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= BILLED)
+    return items.select("l_orderkey", "l_suppkey").distinct()
 
 
 _CAST_SQL = """
-      credits AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS line
-                  FROM lineitem GROUP BY 1, 2),
-      billed AS (SELECT l_orderkey, l_suppkey FROM credits
-                 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY line, l_suppkey) <= 5)
+      billed AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 5)
 """
 
 
@@ -581,21 +569,11 @@ _CAST_SQL = """
 )
 def pair_cooccurrence(spark, sf_dir):
     cast = billed_cast(spark, sf_dir)
-    # At most five names per title, so at most ten pairs per title.
-    names = cast.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_suppkey")).alias("p"))
-    pairs = F.flatten(
-        F.transform(
-            "p",
-            lambda a, i: F.transform(
-                F.slice("p", i + 2, BILLED), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-    return (
-        names.select(F.explode(pairs).alias("pair"))
-        .groupBy(F.col("pair.a").alias("person_a"), F.col("pair.b").alias("person_b"))
-        .agg(F.count("*").alias("titles"))
-    )
+    # Joined, not gathered: a title may list many people in the same place.
+    one = cast.select("l_orderkey", F.col("l_suppkey").alias("person_a"))
+    other = cast.select("l_orderkey", F.col("l_suppkey").alias("person_b"))
+    pairs = one.join(other, "l_orderkey").filter("person_a < person_b")
+    return pairs.groupBy("person_a", "person_b").agg(F.count("*").alias("titles"))
 
 
 @query(

@@ -8,6 +8,7 @@ from tarnlake.functions.udfs import register_function
 from tarnlake.operators import oplog
 from tarnlake.operators.calendars import daily_counts
 from tarnlake.plans.governance import daily_sql
+from tarnlake.plans.modelling import DRIFT_SQL, drift_dataset
 from tarnlake.plans.registry import query, table
 
 
@@ -47,9 +48,9 @@ RUNS_SQL = """
 """
 
 
-@query("runs_daily", daily_sql("event_type <> 'view'", "2024-02-10", 126))
+@query("runs_daily", daily_sql("TRUE", "2024-02-10", 126))
 def runs_daily(spark, sf_dir):
-    log = table(spark, sf_dir, "events").filter("event_type <> 'view'")
+    log = table(spark, sf_dir, "events")
     return daily_counts(log, "ts", "2024-02-10", 126)
 
 
@@ -234,17 +235,16 @@ def health_overlay(spark, sf_dir):
     "alert_rules",
     f"""
     WITH {RUNS_SQL},
+    scores AS ({DRIFT_SQL}),
     alerts AS (
-      SELECT 'armed' AS state, 'med' AS severity FROM (SELECT DISTINCT event_type FROM events)
-      UNION ALL SELECT 'firing', 'high' FROM newest WHERE status = 'failed')
+      SELECT CASE WHEN drift_detected THEN 'firing' ELSE 'quiet' END AS state, severity FROM scores
+      UNION ALL SELECT 'firing', 'critical' FROM newest WHERE status = 'failed')
     SELECT state, severity, count(*) AS n FROM alerts GROUP BY 1, 2
     """,
 )
 def alert_rules(spark, sf_dir):
-    """One monitor per event type, one rule per job whose last run failed."""
-    monitors = table(spark, sf_dir, "events").select(F.col("event_type").alias("feature")).distinct()
-    alerts = oplog.alert_rules(monitors, run_log(spark, sf_dir), 0.15)
-    return oplog.alert_counts(alerts)
+    """One rule per drift score of the line items, one per job whose newest run failed."""
+    return oplog.alert_counts(oplog.alert_rules(drift_dataset(spark, sf_dir), run_log(spark, sf_dir)))
 
 
 @query(

@@ -49,7 +49,10 @@ def drift_psi(spark, sf_dir):
     return drift.psi(halves, ["o_totalprice"])
 
 
-@query("drift_dataset", _psi_sql("lineitem", DRIFT_FEATURES, "l_extendedprice", 0.15))
+DRIFT_SQL = _psi_sql("lineitem", DRIFT_FEATURES, "l_extendedprice", 0.15)
+
+
+@query("drift_dataset", DRIFT_SQL)
 def drift_dataset(spark, sf_dir):
     """Halves by price, so the price itself drifts and the other columns hardly do."""
     halves = drift.half_flag(table(spark, sf_dir, "lineitem"), "l_extendedprice")

@@ -164,15 +164,14 @@ def anti_orphans(spark, sf_dir):
     "j_expr_key",
     """
     WITH names AS (
-      SELECT upper(p_name) || '  ' AS stored, count(*) AS n FROM part WHERE p_size > 40 GROUP BY 1)
+      SELECT upper(p_name) || '  ' AS stored, count(*) AS n FROM part GROUP BY 1)
     SELECT p_partkey, p_name, n FROM part JOIN names ON lower(trim(p_name)) = lower(trim(stored))
     """,
 )
 def expr_key(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = (
-        part.filter("p_size > 40")
-        .groupBy(F.concat(F.upper("p_name"), F.lit("  ")).alias("stored"))
+        part.groupBy(F.concat(F.upper("p_name"), F.lit("  ")).alias("stored"))
         .agg(F.count("*").alias("n"))
     )
     return part.join(

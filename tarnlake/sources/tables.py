@@ -48,24 +48,6 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in found if "__" not in n)
 
 
-def spread_small(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
-    """Deal the rows of a small, costly-to-process input over all cores.
-
-    A file with one row group is read by one task however many cores wait. Larger inputs
-    have splits enough and come back as they are, so no large shuffle is ever added.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    size = 0
-    for name in files:
-        fs, path = _fs(spark, name)
-        size += fs.getFileStatus(path).getLen()
-    return df.repartition(cores) if size <= cores * bytes_per_core else df
-
-
 def write_table(
     df: DataFrame,
     path: str,
@@ -131,6 +113,15 @@ class Compaction:
         return (1 - self.bytes_after / self.bytes_before) * 100
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns that a table's folders are named after, outermost first."""
+    names = []
+    while inner := [n for n in child_folders(spark, path) if "=" in n]:
+        names.append(inner[0].split("=", 1)[0])
+        path = f"{path}/{inner[0]}"
+    return names
+
+
 def compact(
     spark: SparkSession,
     path: str,
@@ -139,10 +130,13 @@ def compact(
 ) -> Compaction | None:
     """Rewrite a table's small files into files of about ``target_bytes``; None below two files.
 
+    A partitioned table keeps its layout unless another is given.
+
     Unpartitioned tables are repacked without a shuffle: the scan itself groups whole
     files into read partitions of the target size, and each becomes one output file.
     """
     started = time.time()
+    partition_by = list(partition_by) or partition_columns(spark, path)
     before = source_stats(spark.read.parquet(path)).first()
     if before["files"] < 2:
         return None
@@ -197,9 +191,9 @@ class Lakehouse:
         replace_table(df, path, partition_by)
         return path
 
-    def append(self, df: DataFrame, name: str, layer: str | None = None) -> str:
+    def append(self, df: DataFrame, name: str, layer: str | None = None, partition_by: Sequence[str] = ()) -> str:
         path = self.path(name, layer)
-        write_table(df, path, mode="append")
+        write_table(df, path, mode="append", partition_by=partition_by)
         return path
 
     def tables(self) -> list[tuple[str, str]]:

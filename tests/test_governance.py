@@ -59,7 +59,9 @@ def test_field_strategies(spark):
 
 
 def test_modes():
-    assert [privacy.mode_of(s) for s in ("Mask", "hash_sha", "deny", "allow")] == ["mask", "mask", "block", "allow"]
+    assert [privacy.mode_of(s) for s in ("Mask", "hash", "block", "allow")] == ["mask", "mask", "block", "allow"]
+    with pytest.raises(ValueError):
+        privacy.mode_of("unmasked")
 
 
 def test_days_are_filled(spark):
@@ -187,3 +189,26 @@ def test_user_functions(spark):
     assert sql_type(float | None) == "double"
     with pytest.raises(TypeError):
         sql_type(object)
+
+
+def test_rules_from_scores_and_runs(spark):
+    from tarnlake.operators import oplog
+
+    scores = spark.createDataFrame([("a", 0.5, True, "critical"), ("b", 0.01, False, "ok")], "feature string, psi double, drift_detected boolean, severity string")
+    runs = spark.createDataFrame(
+        [("1", "j", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), "success"), ("2", "j", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2), "failed")],
+        "run_id string, job string, started_at timestamp, finished_at timestamp, status string",
+    )
+    got = {(r["rule"], r["subject"], r["severity"], r["state"]) for r in oplog.alert_rules(scores, runs).collect()}
+    assert got == {("feature_drift", "a", "critical", "firing"), ("feature_drift", "b", "ok", "quiet"), ("job_broken", "j", "critical", "firing")}
+
+
+@pytest.mark.parametrize("text", ["FROM src_t INSERT INTO dst_t SELECT *", "WITH a AS (SELECT 1 AS x) INSERT INTO dst_t SELECT * FROM a", "SELECT 1; DROP TABLE dst_t"])
+def test_console_refuses_writes(spark, text):
+    from pyspark.errors import ParseException
+
+    from tarnlake.operators.profile import read_only_sql
+
+    with pytest.raises((PermissionError, ParseException)):
+        read_only_sql(spark, text)
+    assert read_only_sql(spark, "WITH a AS (SELECT 'INSERT INTO' AS x) SELECT * FROM a").first()[0] == "INSERT INTO"
