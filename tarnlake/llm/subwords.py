@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
 #: Words kept per worker process; the memory starts anew beyond.
 KEPT_WORDS = 1_000_000
@@ -14,6 +16,16 @@ BORDER = "<|endoftext|>"
 #: Characters that Python's split takes for space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
+#: Steps of a tokenizer file under which a printable Latin word is lower-cased and cut by one pattern, the bytes of
+#: each cut going to the model as characters.
+PLAIN_NORMALIZERS = {"NFC", "Lowercase", "Replace"}
+PLAIN_CUTS = [("Split", "Removed"), ("ByteLevel", None)]
+#: Characters from here on are left to the tokenizer; those before have no composed forms.
+BEYOND_LATIN = "\u0250"
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+
 _loaded: dict[str, Encoder] = {}
 
 
@@ -30,12 +42,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.border = self.tokenizer.token_to_id(BORDER)
         self.known: dict = {}
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = re.compile("|".join(marks) or "(?!)")
+        self.model, self.pieces = self.tokenizer.model, {}
+        self.cut = self.plain_cut(path)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    @staticmethod
+    def plain_cut(path: str):
+        """The pattern that cuts printable Latin words, or None if the file has other steps."""
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        normal, cuts = file["normalizer"] or {}, file["pre_tokenizer"] or {}
+        normal, cuts = normal.get("normalizers", [normal]), cuts.get("pretokenizers", [cuts])
+        lowers = any(n.get("type") == "Lowercase" for n in normal)
+        spaces_only = all(n["pattern"] == {"Regex": "\\s+"} for n in normal if n.get("type") == "Replace")
+        steps = [(c.get("type"), c.get("behavior")) for c in cuts]
+        if not (lowers and spaces_only and {n.get("type") for n in normal} <= PLAIN_NORMALIZERS and steps == PLAIN_CUTS):
+            return None
+        whole = not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and not file["post_processor"]
+        pattern = cuts[0]["pattern"].get("Regex")
+        return regex.compile(pattern) if whole and cuts[0]["invert"] and pattern else None
+
+    def plain(self, word: str | bytes) -> bytes | None:
+        """Ids of a printable Latin word without marks; None for any other."""
+        word = word.decode("utf-8", "replace") if isinstance(word, bytes) else word
+        if not (word.isascii() or max(word) < BEYOND_LATIN) or not word.isprintable() or self.mark.search(word):
+            return None
+        found = self.cut.findall(word.lower())
+        for x in found:
+            if x not in self.pieces:
+                chars = x if x.isascii() else "".join([BYTE_CHARS[b] for b in x.encode()])
+                self.pieces[x] = b"".join([self.raw[t.id] for t in self.model.tokenize(chars)])
+        return b"".join([self.pieces[x] for x in found])
 
     def learn(self, words: set) -> None:
         new = list(words - self.known.keys())
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
+            self.pieces.clear()
             new = list(words)
+        if self.cut:
+            left = []
+            for w in new:
+                ids = self.plain(w)
+                if ids is None:
+                    left.append(w)
+                else:
+                    self.known[w] = ids
+            new = left
         plain = [w for w in new if (BORDER.encode() if isinstance(w, bytes) else BORDER) not in w]
         # Many words in one call, set apart by a mark that is an id of its own.
         for i in range(0, len(plain), 1000):

@@ -141,6 +141,23 @@ def notices_by_hand(words):
     return found, best
 
 
+def test_words_are_encoded_as_by_the_tokenizer():
+    """Words cut here, and words left to the tokenizer, alone and among others."""
+    import random
+
+    from tarnlake.llm.subwords import Encoder
+
+    dice = random.Random(4)
+    letters = [chr(i) for i in range(33, 127)] + list("''abstremvldé\x7f\x01İß\xa0\xadȺǅ¼²ªʼ中Σ\u0301ſ")
+    made = ["".join(dice.choices(letters, k=dice.randint(1, 12))) for _ in range(3000)]
+    made += ["<|startoftext|>", "x<|endoftext|>y", "<|ENDOFTEXT|>", "IT'S", "we'll'd", "e\u0301t\u0301"]
+    encoder = Encoder(TOKENIZER)
+    assert encoder.cut
+    got = [encoder.split_ids([x])[0] for x in (made, [w.encode() for w in made])]
+    want = np.concatenate([encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in made])
+    assert np.array_equal(got[0], want) and np.array_equal(got[1], want)
+
+
 def test_license_scan(docs, rows):
     def hand(r):
         *base, words = scan_by_hand(r["text"])
