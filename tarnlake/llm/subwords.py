@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import regex
@@ -27,6 +28,7 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 _loaded: dict[str, Encoder] = {}
+_lexicons: dict[str, Lexicon] = {}
 
 
 class Encoder:
@@ -76,37 +78,37 @@ class Encoder:
                 self.pieces[x] = b"".join([self.raw[t.id] for t in self.model.tokenize(chars)])
         return b"".join([self.pieces[x] for x in found])
 
-    def learn(self, words: set) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            self.pieces.clear()
-            new = list(words)
-        if self.cut:
-            left = []
-            for w in new:
-                ids = self.plain(w)
-                if ids is None:
-                    left.append(w)
-                else:
-                    self.known[w] = ids
-            new = left
-        plain = [w for w in new if (BORDER.encode() if isinstance(w, bytes) else BORDER) not in w]
+    def encode_words(self, words: list) -> list[bytes]:
+        """Ids of distinct words, each as unsigned 32-bit numbers."""
+        out = [self.plain(w) if self.cut else None for w in words]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        alone = []
         # Many words in one call, set apart by a mark that is an id of its own.
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            text = (BORDER.encode() if isinstance(part[0], bytes) else BORDER).join(part)
-            ids = self.ids(text)
+        for i in range(0, len(left), 1000):
+            part = [k for k in left[i : i + 1000] if (BORDER.encode() if isinstance(words[k], bytes) else BORDER) not in words[k]]
+            alone += set(left[i : i + 1000]).difference(part)
+            if not part:
+                continue
+            ids = self.ids((BORDER.encode() if isinstance(words[part[0]], bytes) else BORDER).join(words[k] for k in part))
             cuts = np.flatnonzero(ids == self.border)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer file has no mark of its own between words")
             edges = np.concatenate([[-1], cuts, [len(ids)]]).tolist()
             raw = ids.tobytes()
-            for k, w in enumerate(part):
-                self.known[w] = raw[4 * edges[k] + 4 : 4 * edges[k + 1]]
-        if len(plain) < len(new):
-            for w in set(new).difference(plain):
-                self.known[w] = self.ids(w).tobytes()
+            for n, k in enumerate(part):
+                out[k] = raw[4 * edges[n] + 4 : 4 * edges[n + 1]]
+        for k in alone:
+            out[k] = self.ids(words[k]).tobytes()
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        return out
+
+    def learn(self, words: set) -> None:
+        new = list(words - self.known.keys())
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = list(words)
+        self.known.update(zip(new, self.encode_words(new), strict=True))
 
     def ids(self, text: str | bytes) -> np.ndarray:
         text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
@@ -126,7 +128,46 @@ class Encoder:
         return out
 
 
+class Lexicon:
+    """Words of a worker by number, with the subword ids and the hash of each."""
+
+    def __init__(self, path: str, word_hash):
+        self.encode, self.word_hash = encoder(path), word_hash
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = {}
+        self.hashes, self.ids, self.ends = np.zeros(0, np.uint64), np.zeros(0, "<u2"), np.zeros(1, np.int64)
+
+    def full(self) -> bool:
+        return len(self.number) > KEPT_WORDS
+
+    def numbers(self, split: list[list]) -> np.ndarray:
+        """Numbers of the words of all texts, in order."""
+        new = list(set().union(*split) - self.number.keys())
+        if new:
+            ids = self.encode.encode_words(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.hashes = np.append(self.hashes, np.fromiter(map(self.word_hash, new), np.uint64, len(new)))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in ids]))
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<u4").astype("<u2"))
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+
+    def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and where each word's begin (and the last's end)."""
+        begins = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - begins
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[np.arange(edges[-1]) + np.repeat(begins - edges[:-1], lengths)], edges
+
+
 def encoder(path: str) -> Encoder:
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
+
+
+def lexicon(path: str, word_hash) -> Lexicon:
+    if path not in _lexicons:
+        _lexicons[path] = Lexicon(path, word_hash)
+    return _lexicons[path]
