@@ -12,6 +12,9 @@ import regex
 
 #: Words kept per worker process; the memory starts anew beyond.
 KEPT_WORDS = 1_000_000
+#: Parts of words kept, and words a lexicon holds before its user clears it.
+KEPT_PIECES = 200_000
+LEXICON_WORDS = 300_000
 #: A mark that the tokenizer file knows as one id and cuts out before all else.
 BORDER = "<|endoftext|>"
 #: Characters that Python's split takes for space and the tokenizer does not.
@@ -99,7 +102,7 @@ class Encoder:
                 out[k] = raw[4 * edges[n] + 4 : 4 * edges[n + 1]]
         for k in alone:
             out[k] = self.ids(words[k]).tobytes()
-        if len(self.pieces) > KEPT_WORDS:
+        if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         return out
 
@@ -140,7 +143,7 @@ class Lexicon:
         self.hashes, self.ids, self.ends = np.zeros(0, np.uint64), np.zeros(0, "<u2"), np.zeros(1, np.int64)
 
     def full(self) -> bool:
-        return len(self.number) > KEPT_WORDS
+        return len(self.number) > LEXICON_WORDS
 
     def numbers(self, split: list[list]) -> np.ndarray:
         """Numbers of the words of all texts, in order."""
