@@ -14,7 +14,7 @@ import regex
 KEPT_WORDS = 1_000_000
 #: Parts of words kept, and words a lexicon holds before its user clears it.
 KEPT_PIECES = 200_000
-LEXICON_WORDS = 300_000
+LEXICON_WORDS = 600_000
 #: A mark that the tokenizer file knows as one id and cuts out before all else.
 BORDER = "<|endoftext|>"
 #: Characters that Python's split takes for space and the tokenizer does not.
