@@ -349,6 +349,30 @@ def test_lm_base_and_proper_probabilities(docs, rows, monkeypatch, common):
     assert all(r["score"] < 0 for r in got.collect())
 
 
+def test_lm_learns_from_every_id_of_a_training_text(docs, rows, monkeypatch):
+    from tarnlake.llm.subwords import Encoder
+
+    seen = {}
+
+    def train(texts, vocabulary, flat):
+        for r in lm.text_windows(texts).collect():
+            seen.setdefault(r["key"], {}).setdefault(r["number"], []).append(np.frombuffer(r["ids"], "<u2").tolist())
+        return flat
+
+    monkeypatch.setattr(lm, "train", train)
+    lm.score(docs, TOKENIZER)
+    encode, got, want = Encoder(TOKENIZER), [], Counter()
+    for windows in seen.values():
+        for copy in zip(*(windows[k] for k in range(len(windows))), strict=True):  # repeated rows give their windows again
+            assert all(len(w) == lm.WINDOW + 1 for w in copy[:-1]) and 2 <= len(copy[-1]) <= lm.WINDOW + 1
+            assert all(a[-1] == b[0] for a, b in zip(copy, copy[1:]))
+            got.append(tuple([copy[0][0], *(i for w in copy for i in w[1:])]))
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            want[tuple([lm.START, *encode.split_ids([split(lower(r["text"]))])[0].tolist(), lm.END])] += 1
+    assert Counter(got) == want and max(map(len, want)) > 9000
+
+
 def test_lm_windows_score_each_token_once():
     dice = np.random.default_rng(2)
     counts = dice.integers(0, 50, lm.VOCABULARY).astype(float)
