@@ -391,6 +391,14 @@ def test_lm_windows_score_each_token_once():
         assert got == pytest.approx(want / np.log(10), rel=1e-4)
 
 
+def test_lm_model_is_not_cut():
+    """Context of 7 ids at least and 32 at most, 24 ids with a class of their own and 24 shared classes."""
+    assert (lm.WINDOW, lm.SHARED, lm.CLASSES) == (32, 6, 48)
+    words = lm.Vocabulary(np.arange(lm.VOCABULARY, 0, -1).astype(float))
+    sizes = np.bincount(words.klass, minlength=lm.CLASSES)
+    assert len(sizes) == 48 and (sizes[:24] == 1).all() and (sizes[24:] > 1).all()
+
+
 def test_lm_learns():
     dice = np.random.default_rng(4)
     step = dice.permutation(500)
