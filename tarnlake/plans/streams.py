@@ -2,39 +2,77 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.plans.registry import query, table
 from tarnlake.session import scratch_path
 from tarnlake.streaming import events as st
 
-# Deliveries cover these days; each but the first repeats the day before it.
-BORDERS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-02-01"]
-# Longer than a delivery, so the order of files inside one does not matter.
+# Days of the deliveries that the SQL of stream_late names; its last border is the first day left out.
+LATE_BORDERS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-02-01"]
+DELIVERIES = 3
+# A delivery is one batch and later ones hold later days, so no event is behind the watermark.
 LATENESS = "10 days"
 
 
+def borders(events: DataFrame) -> list[dt.date]:
+    """First days of the deliveries after the first: the days of the events in equal parts."""
+    day = F.to_date("ts")
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return []
+    days = (last - first).days + 1
+    cuts = {first + dt.timedelta(days * k // DELIVERIES) for k in range(1, DELIVERIES)}
+    return sorted(cuts - {first})
+
+
 def in_deliveries(
     spark, sf_dir, run: Callable[[DataFrame, str], None], overlap: bool = False
 ) -> str:
-    """Land the events delivery by delivery and run the job after each; returns its folder."""
+    """Land all events delivery by delivery and run the job after each; returns its folder.
+
+    Events without a time come with the first delivery; with ``overlap`` each later one
+    repeats the day before it.
+    """
     events = table(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    cuts = borders(events)
+    parts = []
+    for start, end in zip([None, *cuts], [*cuts, None]):
+        inside = F.lit(True) if end is None else day < F.lit(end)
+        if start is None:
+            inside = inside | day.isNull()
+        else:
+            inside = inside & (day >= F.lit(start - dt.timedelta(days=1 if overlap else 0)))
+        parts.append(events.filter(inside))
+    return _land(spark, events.schema, parts, run)
+
+
+def _land(spark, schema, parts, run) -> str:
     base = scratch_path(spark, "stream")
     landing = f"{base}/landing"
-    for start, end in zip(BORDERS, BORDERS[1:]):
-        first = F.lit(start).cast("date")
-        if overlap and start != BORDERS[0]:
-            first = F.date_sub(first, 1)
-        day = F.to_date("ts")
-        part = events.filter((day >= first) & (day < F.lit(end).cast("date")))
+    for part in parts:
         part.write.mode("append").parquet(landing)
-        run(st.file_stream(spark, landing, events.schema), base)
+        run(st.file_stream(spark, landing, schema), base)
     return base
 
 
+def _untimed(stream: DataFrame, base: str, keys: list[str], **aggregates: Column) -> None:
+    """Aggregates of the rows without a time, which no window of a stream takes in."""
+    rows = stream.filter(F.col("ts").isNull()).groupBy(F.col("ts").alias("window_start"), *keys)
+    counts = rows.agg(*[c.alias(name) for name, c in aggregates.items()])
+    st.keep_updates(counts, f"{base}/untimed", f"{base}/untimed_checkpoint")
+
+
+def _with_untimed(spark, rows: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    untimed = st.latest_updates(spark, f"{base}/untimed", ["window_start", *keys])
+    return rows.unionByName(untimed.withColumn("window_start", F.col("window_start").cast("timestamp")))
+
+
 def _zoneless(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -56,10 +94,11 @@ def stream_rate(spark, sf_dir):
         timed = st.event_time(stream, "ts", LATENESS)
         counts = st.window_counts(timed, "ts", "60 seconds", ["event_type"])
         st.keep_updates(counts, f"{base}/rates", f"{base}/checkpoint")
+        _untimed(stream, base, ["event_type"], n=F.count("*"))
 
     base = in_deliveries(spark, sf_dir, run)
     rates = st.latest_updates(spark, f"{base}/rates", ["window_start", "event_type"])
-    return _zoneless(rates, "window_start")
+    return _zoneless(_with_untimed(spark, rates, base, ["event_type"]), "window_start")
 
 
 @query(
@@ -77,10 +116,11 @@ def stream_filter_window(spark, sf_dir):
             st.event_time(kept, "ts", LATENESS), "ts", "60 seconds", ["user_id"]
         )
         st.keep_updates(counts, f"{base}/windows", f"{base}/checkpoint")
+        _untimed(kept, base, ["user_id"], n=F.count("*"))
 
     base = in_deliveries(spark, sf_dir, run)
     rows = st.latest_updates(spark, f"{base}/windows", ["window_start", "user_id"])
-    return _zoneless(rows, "window_start")
+    return _zoneless(_with_untimed(spark, rows, base, ["user_id"]), "window_start")
 
 
 @query(
@@ -95,10 +135,16 @@ def stream_filter_window(spark, sf_dir):
     """,
 )
 def stream_late(spark, sf_dir):
+    """Late rows of the three deliveries the SQL names; it counts no event of other days."""
+
     def run(stream, base):
         st.count_late(stream, "ts", "1 HOUR", f"{base}/late", f"{base}/checkpoint")
 
-    base = in_deliveries(spark, sf_dir, run, overlap=True)
+    events, day, parts = table(spark, sf_dir, "events"), F.to_date("ts"), []
+    for start, end in zip(LATE_BORDERS, LATE_BORDERS[1:]):
+        first = F.date_sub(F.lit(start).cast("date"), int(start != LATE_BORDERS[0]))
+        parts.append(events.filter((day >= first) & (day < F.lit(end).cast("date"))))
+    base = _land(spark, events.schema, parts, run)
     return spark.read.parquet(f"{base}/late").select("batch_no", "row_count", "late_rows")
 
 
@@ -135,11 +181,15 @@ def stream_last_seen(spark, sf_dir):
 def stream_error_rate(spark, sf_dir):
     def run(stream, base):
         timed = st.event_time(stream, "ts", LATENESS)
-        rates = st.error_rates(timed, "ts", F.col("event_type") == "error")
+        is_error = F.col("event_type") == "error"
+        rates = st.error_rates(timed, "ts", is_error)
         st.keep_updates(rates, f"{base}/errors", f"{base}/checkpoint")
+        # An event stands in four windows, and one without a time four times in the window without a start.
+        _untimed(stream, base, [], n=F.count("*") * 4, errors=F.count_if(is_error) * 4)
 
     base = in_deliveries(spark, sf_dir, run)
     rows = st.latest_updates(spark, f"{base}/errors", ["window_start"])
+    rows = _with_untimed(spark, rows, base, [])
     rate = F.round(F.col("errors") / F.col("n"), 6)
     return _zoneless(rows.withColumn("error_rate", rate), "window_start")
 
@@ -187,14 +237,17 @@ def stream_scd1(spark, sf_dir):
     """,
 )
 def stream_schema_drift(spark, sf_dir):
-    """Payload keys of every delivery against the contract; each finding once."""
+    """Payload keys against the contract, each finding once; a key is removed if no delivery has it."""
+    numbers = set()
 
     def run(stream, base):
         def check(batch, number):
+            numbers.add(number)
             found = st.payload_drift(batch, "props", ["source", "unit"])
             found.write.mode("overwrite").parquet(f"{base}/drift/batch_no={number}")
 
         st.each_batch(stream, check, f"{base}/checkpoint")
 
     base = in_deliveries(spark, sf_dir, run)
-    return spark.read.parquet(f"{base}/drift").select("kind", "key").distinct()
+    found = spark.read.parquet(f"{base}/drift").groupBy("kind", "key").agg(F.countDistinct("batch_no").alias("n"))
+    return found.filter((F.col("kind") == "added") | (F.col("n") == len(numbers))).select("kind", "key")

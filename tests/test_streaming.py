@@ -1,13 +1,18 @@
 import datetime as dt
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
+from scripts.compare import TABLES, differences, duck
 from tarnlake.session import scratch_path
 from tarnlake.streaming import events as st
 
 from .conftest import rows
 
+SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 SCHEMA = "id int, k string, ts timestamp"
 
 
@@ -102,3 +107,31 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_path(Session(), "x")
+
+
+STREAMS = "bronze rate filter_window late last_seen error_rate dedup scd1 schema_drift".split()
+
+
+@pytest.fixture(scope="module")
+def any_day(spark, tmp_path_factory):
+    """Tables whose events lie years apart, on one another's borders, and nowhere in time."""
+    folder = tmp_path_factory.mktemp("any_day")
+    for name in TABLES:
+        (folder / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    (folder / "events.parquet").unlink()
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    k = F.col("event_id")
+    moved = F.when(k % 10 == 0, F.col("ts") - F.expr("INTERVAL 400 DAYS"))
+    moved = moved.when(k % 10 == 1, F.col("ts") + F.expr("INTERVAL 90 DAYS"))
+    moved = moved.when((k % 10 == 2) | (F.col("user_id") % 7 == 3), None).otherwise(F.col("ts"))
+    events = events.withColumn("ts", moved.cast("timestamp_ntz"))
+    events = events.withColumn("props", F.when(F.col("ts") > "2024-02-10", '{"unit": 1, "new": 2}').otherwise(F.col("props")))
+    pq.write_table(events.toArrow(), folder / "events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_jobs_take_in_events_of_any_day(spark, any_day, name):
+    got = QUERIES[f"stream_{name}"](spark, any_day).toPandas()
+    want = duck(any_day).execute(ORACLES[f"stream_{name}"]).df()
+    assert len(want) and differences(got, want) is None
