@@ -174,7 +174,11 @@ def ml_train_metrics(spark, sf_dir):
         F.month("o_orderdate").alias("month"),
     )
     rows = []
-    for algorithm, target in (("random_forest", "priority"), ("linear", "o_totalprice")):
+    for algorithm, target in (
+        ("random_forest", "priority"),
+        ("linear", "o_totalprice"),
+        ("gradient_boosting", "o_totalprice"),
+    ):
         done = ml.train_table(orders, target, ["o_orderkey"], algorithm)
         rows.append((algorithm, target, done.metric_name, done.metric, done.rows_trained))
     return spark.createDataFrame(
@@ -209,7 +213,7 @@ def ml_rf_classifier(spark, sf_dir):
 
 @query("ml_churn_gate")
 def ml_churn_gate(spark, sf_dir):
-    """Customers without an order in the last year; promoted at 0.70 accuracy."""
+    """Customers without an order in the last year, or any; promoted at 0.70 accuracy."""
     customer = table(spark, sf_dir, "customer")
     spend = (
         table(spark, sf_dir, "orders")
@@ -220,9 +224,11 @@ def ml_churn_gate(spark, sf_dir):
             F.max("o_orderdate").alias("last_order"),
         )
     )
-    rows = customer.join(spend, F.col("c_custkey") == F.col("o_custkey")).select(
-        "c_custkey", "c_acctbal", "c_nationkey", "orders", "spent",
-        (F.col("last_order") < F.lit("2000-08-01").cast("timestamp_ntz")).cast("int").alias("churned"),
+    late = F.col("last_order") < F.lit("2000-08-01").cast("timestamp_ntz")
+    rows = customer.join(spend, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "c_custkey", "c_acctbal", "c_nationkey",
+        F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("spent", F.lit(0)).alias("spent"),
+        F.when(F.col("o_custkey").isNull(), 1).otherwise(late.cast("int")).alias("churned"),
     )
     train, test = ml.split_rows(rows, ["c_custkey"])
     model = ml.fit_classification(

@@ -1,13 +1,18 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions.scoring import decade, ladder
 from tarnlake.operators import drift, features, ml
+from tarnlake.plans import load_all
+from tarnlake.plans.registry import QUERIES
 
 from .conftest import rows
 
+load_all()
+
 
 def sided(spark, ref, cur):
     return spark.createDataFrame(
@@ -160,3 +165,25 @@ def test_category_effects(spark):
     model = ml.fit_regression(df, ["a", "b"], ml.random_forest_regressor("y", trees=5, depth=3))
     got = {(r["category"], r["side"]): r["mean_effect"] for r in ml.category_effects(model, df, ["a", "b"], 1).collect()}
     assert got[("b", "up")] > 0 > got[("a", "down")]
+
+
+def test_churn_gate_keeps_customers_without_orders(spark, tmp_path, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    customer = spark.read.parquet(f"{sf}/customer.parquet")
+    orders = spark.read.parquet(f"{sf}/orders.parquet").filter("o_custkey % 4 <> 0")
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    seen, split = [], ml.split_rows
+    monkeypatch.setattr(ml, "split_rows", lambda df, key: seen.append(df) or split(df, key))
+    assert QUERIES["ml_churn_gate"](spark, str(tmp_path)).count() == 3
+    got = {r["c_custkey"]: (r["orders"], float(r["spent"]), r["churned"]) for r in seen[0].collect()}
+    none = {r[0] for r in customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey").collect()}
+    assert len(got) == customer.count() and none
+    assert {got[k] for k in none} == {(0, 0.0, 1)}
+    assert all(v[0] > 0 for k, v in got.items() if k not in none)
+
+
+def test_train_metrics_run_all_algorithms(spark):
+    got = QUERIES["ml_train_metrics"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["algorithm"] for r in got} == {"random_forest", "gradient_boosting", "linear"}
+    assert all(np.isfinite(r["value"]) and r["rows_trained"] > 0 for r in got)
