@@ -47,7 +47,8 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: No stage but the mixture can be said in SQL; tests hold each against a brute-force version.
+#: No stage but the mixture can be said in SQL. Tests hold the operators of lines, near_duplicates, mixture and packed
+#: against brute force; which documents the quality stage rejects, the chain of stages and ``run`` are not tested.
 ORACLE_SQL = None
 
 
