@@ -95,8 +95,8 @@ class Leader:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, folds: int = 5) -> bytes:
     """Weights (float32) learned from labelled rows outside fold 0 of crc32(doc_id) mod ``folds``.
 
-    At most ``max_rows`` labelled documents are used, a sample by hash of doc_id; one task trains on them.
-    Null labels are skipped; a document with several labels counts with the lowest. Without any
+    At most ``max_rows`` labelled rows are used, a sample by hash of doc_id and text; one task trains on them.
+    Repeated rows count once. Null labels are skipped; a document with several labels counts with the lowest. Without any
     labelled row all weights are 0.
     """
     chosen = (
@@ -104,7 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         .groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label)).cast("double").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_label", "text", F.xxhash64("_id").alias("_o"))
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("_label", "text", F.xxhash64("_id").alias("_o"), "_id", F.xxhash64("text").alias("_t"))
+    rows = rows.dropDuplicates(["_id", "_t"]).orderBy("_o", "_id", "_t").limit(max_rows).select("_label", "text", "_o", "_t")
 
     def train(batches):
         held = []
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         weights = model.weights(slice(None)).astype("<f4").tobytes()
         yield pa.RecordBatch.from_pydict({"weights": [weights]}, pa.schema([("weights", pa.binary())]))
 
-    fitted = rows.repartition(1).sortWithinPartitions("_o").mapInArrow(train, "weights binary").first()
+    fitted = rows.repartition(1).sortWithinPartitions("_o", "_t").mapInArrow(train, "weights binary").first()
     return fitted[0] if fitted else bytes(4 * (PLACES + 1))
 
 

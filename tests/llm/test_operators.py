@@ -267,6 +267,18 @@ def test_classifier_takes_any_table(docs, rows, spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_sample_is_bounded_by_rows(spark):
+    """A labelled document on many rows counts once per text, and no more rows than asked are learnt from."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    once = [(i, f"{'good' if i % 2 else 'bad'} words of number {i}") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    fit = lambda rows, **k: quality_model.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, **k)
+    assert any(fit(once))
+    assert fit(once + once[:1] * 300) == fit(once)
+    many = [(ids[0], f"text {k} of one document") for k in range(50)]
+    assert fit(many, max_rows=1) in {fit([r], max_rows=1) for r in many}
+
+
 # --- 7 ----------------------------------------------------------------------------------------------
 
 
