@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnlake.llm import bitsliced, licenses, line_dedup, lm, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from tarnlake.llm import bitsliced, licenses, line_dedup, lm, merkle, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
 from tarnlake.llm.common import read
 from tarnlake.session import prepare
 
@@ -138,6 +138,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(*columns)
 
 
+#: Levels that the SQL of the manifest can climb in each of its two trees: 8 ** 9 leaves.
+SQL_LEVELS = 9
+
+
+def manifest_sql() -> str:
+    """Leaf, proof and fold of every document, level by level; a tree that is done passes a level unchanged."""
+    fields = lambda text: " || ".join(
+        f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    )
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "list_reduce(range(8)::UBIGINT[], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, xor(c, b))"
+    bytes_ = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1)))::UBIGINT[]"
+    crc = f"xor(list_reduce({bytes_}, lambda c, b: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+    def climb(tree: str) -> str:
+        parts = []
+        for k in range(SQL_LEVELS):
+            parts.append(f"""
+    {tree}_runs{k} AS MATERIALIZED (
+        SELECT g, pos // 8 AS run, any_value(n) AS n, list(node ORDER BY pos) AS nodes FROM {tree}{k} GROUP BY g, pos // 8
+    ),
+    {tree}{k + 1} AS MATERIALIZED (
+        SELECT g, run AS pos, CASE WHEN n = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node, (n + 7) // 8 AS n
+        FROM {tree}_runs{k}
+    ),
+    {tree}_path{k + 1} AS MATERIALIZED (
+        SELECT id, p.g, run AS place,
+            CASE WHEN n = 1 THEN fold ELSE sha256(array_to_string(nodes[1:(place % 8)], '') || fold || array_to_string(nodes[(place % 8 + 2):8], '')) END AS fold,
+            CASE WHEN n = 1 THEN proof ELSE proof || array_to_string(nodes[1:(place % 8)], '') || array_to_string(nodes[(place % 8 + 2):8], '') END AS proof
+        FROM {tree}_path{k} p JOIN {tree}_runs{k} r ON p.g = r.g AND p.place // 8 = r.run
+    ),""")
+        return "".join(parts)
+
+    return f"""
+    WITH hashed AS MATERIALIZED (
+        SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256({fields("text")}) AS leaf,
+            CASE WHEN {crc} % 3 = 0 THEN sha256({fields(lowered)}) END AS claim
+        FROM documents
+    ),
+    placed AS MATERIALIZED (
+        SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            count(*) OVER (PARTITION BY g) AS n
+        FROM hashed
+    ),
+    tree0 AS (SELECT g, pos, leaf AS node, n FROM placed),
+    tree_path0 AS (SELECT id, g, pos AS place, coalesce(claim, leaf) AS fold, '' AS proof FROM placed),{climb("tree")}
+    subroots AS MATERIALIZED (SELECT g AS name, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree{SQL_LEVELS}),
+    top0 AS (SELECT 0 AS g, pos, subroot AS node, n FROM subroots),
+    top_path0 AS (SELECT id, 0 AS g, pos AS place, fold, proof FROM tree_path{SQL_LEVELS} p JOIN subroots s ON p.g = s.name),{climb("top")}
+    root AS (SELECT node AS root FROM top{SQL_LEVELS})
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+    FROM placed d JOIN subroots s ON d.g = s.name JOIN top_path{SQL_LEVELS} p ON p.id = d.id CROSS JOIN root
+    """
+
+
+@query("op11_merkle_manifest", manifest_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(read(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
