@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnlake.llm import bitsliced, licenses, line_dedup, lm, merkle, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from tarnlake.llm import bitsliced, html_text, licenses, line_dedup, lm, merkle, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
 from tarnlake.llm.common import read
 from tarnlake.session import prepare
 
@@ -198,6 +198,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_proofs(read(spark, sf_dir, "documents"))
 
 
+@query("op12_html_extract")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
