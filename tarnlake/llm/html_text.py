@@ -8,7 +8,6 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tarnlake.llm.hashing import slices
 
@@ -253,11 +252,14 @@ def boilerplate(page: Page, named: bool = True) -> list[bool]:
 
 
 def _adjusted(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
-    """Characters per tag, lowered by links: their log-ratio to a base that grows with links here and on the page."""
+    """Characters per tag, lowered by links: their log-ratio to a base that grows with links here and on the page.
+
+    Text without links weighs its characters per tag at least, links alone weigh nothing.
+    """
     tags = max(1, tags)
     base = max(math.e, math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e))
     spread = chars / max(1, link_chars) * tags / max(1, min(tags, link_tags))
-    return chars / tags * math.log(max(1.0, spread)) / math.log(base)
+    return chars / tags * math.log(max(1.0 if link_chars else base, spread)) / math.log(base)
 
 
 def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float], list[int]]:
@@ -336,7 +338,11 @@ def selected(page: Page, gone: list[bool]) -> list[bool]:
         if not gone[k] and (sums[best[k]], -best[k]) > (sums[best[up]], -best[up]):
             best[up] = best[k]
     body = next((k for k in range(n) if page.names[k] == "body" and not gone[k]), 0)
-    path = _path(page, best[body], body)
+    lead = best[body]
+    if not sums[lead]:  # nothing but links, if anything
+        main = _main_part(page, *_marks(page))
+        lead = main if main > 0 and not gone[main] else lead
+    path = _path(page, lead, body)
     marked = [k for k in path if page.names[k] in KEEPERS]
     if marked:
         spans = [marked[-1]]
@@ -380,16 +386,18 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     text. Columns of these names are replaced; each row, repeated or not, is read by itself, so nothing is
     shuffled and one long page is one row of a task. An empty table gives no rows.
     """
-    own = [c for c in pages.columns if c not in ("text", "n_chars")]
-    schema = ", ".join(f"`{c.replace('`', '``')}` {pages.schema[c].dataType.simpleString()}" for c in own)
+    own = [(f"c{k}", f) for k, f in enumerate(pages.schema.fields) if f.name not in ("text", "n_chars")]
+    source = next(plain for plain, f in own if f.name == html_column)
+    plain = [name for name, _ in own]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, html_column):
-                texts = [main_text(x) for x in part.column(html_column).to_pylist()]
-                columns = [part.column(c) for c in own]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*own, "text", "n_chars"]
-                )
-
-    return pages.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, (schema + ", " if schema else "") + "text string, n_chars long")
+            for part in slices(batch, source):
+                texts = [main_text(x) for x in part.column(source).to_pylist()]
+                new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), *new], names=[*plain, "text", "n_chars"])
+
+    schema = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in own)
+    # Any name may stand in the table, dots and all: columns go by place.
+    by_place = pages.toDF(*[f"c{k}" for k in range(len(pages.columns))]).select(*plain)
+    return by_place.mapInArrow(run, schema + ", text string, n_chars long").toDF(*[f.name for _, f in own], "text", "n_chars")

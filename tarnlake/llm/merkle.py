@@ -28,13 +28,13 @@ def leaf_hash(columns: list[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256))
 
 
-def levels_above(nodes: list[bytes], n: int) -> list[list[bytes]]:
+def levels_above(nodes: list[bytes], n: int, stride: int) -> list[list[bytes]]:
     """``nodes`` of one aligned subtree and the levels above them, up to the next stored one or the tree's top.
 
     ``n`` is the whole tree's width at the level of ``nodes``; a tree stops where one node is left.
     """
     levels = [nodes]
-    while n > 1 and len(levels) <= STRIDE:
+    while n > 1 and len(levels) <= stride:
         nodes = [digest(*nodes[k : k + ARITY]) for k in range(0, len(nodes), ARITY)]
         levels.append(nodes)
         n = -(-n // ARITY)
@@ -74,27 +74,28 @@ class Manifest:
 
     groups: list[DataFrame]
     top: list[DataFrame]
+    stride: int
 
 
-def _block(level: DataFrame, *more: str) -> DataFrame:
-    """Aligned subtrees of at most ARITY ** STRIDE nodes."""
-    return level.select("g", "n", "pos", "node", *more, F.floor(F.col("pos") / F.lit(ARITY**STRIDE)).cast("long").alias("block"))
+def _block(level: DataFrame, stride: int, *more: str) -> DataFrame:
+    """Aligned subtrees of at most ARITY ** stride nodes."""
+    return level.select("g", "n", "pos", "node", *more, F.expr(f"pos div {ARITY**stride}").alias("block"))
 
 
-def _climb(lowest: DataFrame, label: str) -> list[DataFrame]:
+def _climb(lowest: DataFrame, stride: int, label: str) -> list[DataFrame]:
     """The stored levels over ``lowest``: the top of every aligned subtree, each built in one group."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         n = table["n"][0].as_py()
-        levels = levels_above(table["node"].to_pylist(), n)
+        levels = levels_above(table["node"].to_pylist(), n, stride)
         for _ in levels[1:]:
             n = -(-n // ARITY)
         return pa.table({"g": table["g"][:1], "n": pa.array([n], pa.int64()), "pos": table["block"][:1], "node": pa.array(levels[-1], pa.binary())})
 
     levels = [lowest]
     while (levels[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        above = _block(levels[-1].where("n > 1")).groupBy("g", "block").applyInArrow(run, "g string, n long, pos long, node binary")
+        above = _block(levels[-1].where("n > 1"), stride).groupBy("g", "block").applyInArrow(run, "g string, n long, pos long, node binary")
         levels.append(saved(above, label))
     return levels
 
@@ -108,13 +109,13 @@ def _ends(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def build(leaves: DataFrame) -> Manifest:
+def build(leaves: DataFrame, stride: int = STRIDE) -> Manifest:
     """The manifest of ``leaves``: id, grp (string), node (binary) and, if present, claim (see ``proofs``).
 
     Leaves of a group ascend by id (null first), equal ids by hash; groups ascend bytewise, null first.
     Every ARITY consecutive nodes (fewer in the last run) become one while a tree has more than one.
     Places come from range-sorted prefix counts, so a group of any size spans many tasks. Of the levels
-    above the leaves only every STRIDE-th is written. Repeated rows are leaves of their own; without
+    above the leaves only every ``stride``-th is written. Repeated rows are leaves of their own; without
     leaves the levels are empty.
     """
     claim = F.col("claim") if "claim" in leaves.columns else F.lit(None).cast("binary")
@@ -125,24 +126,24 @@ def build(leaves: DataFrame) -> Manifest:
     )
     placed = running_sums(named, ["g", "id", "node", "_copy"], "_one", "pos", group="g")
     sizes = placed.groupBy("g").agg(F.count("*").alias("n"))
-    groups = _climb(saved(placed.join(sizes, "g").select("g", "n", "pos", "node", "id", "claim"), "leaves"), "nodes")
+    groups = _climb(saved(placed.join(sizes, "g").select("g", "n", "pos", "node", "id", "claim"), "leaves"), stride, "nodes")
     ends = running_sums(_ends(groups).withColumn("_one", F.lit(1)), ["g"], "_one", "pos")
     top = ends.select(F.lit("").alias("g"), F.lit(ends.count()).cast("long").alias("n"), "pos", "node", F.col("g").alias("name"), "at")
-    return Manifest(groups, _climb(saved(top, "subroots"), "nodes"))
+    return Manifest(groups, _climb(saved(top, "subroots"), stride, "nodes"), stride)
 
 
-def _descend(level: DataFrame, above: DataFrame, more: list[str], make, schema: str) -> DataFrame:
+def _descend(level: DataFrame, above: DataFrame, stride: int, more: list[str], make, schema: str) -> DataFrame:
     """``make`` for every aligned subtree of a level, with the path (and subroot, root) of the subtree's top."""
 
     def run(table: pa.Table, parent: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        levels = levels_above(table["node"].to_pylist(), table["n"][0].as_py())
+        levels = levels_above(table["node"].to_pylist(), table["n"][0].as_py(), stride)
         rest = parent["path"][0].as_py()
         paths = (siblings(levels, k) + rest for k in range(table.num_rows))
         return make(table, paths, parent["subroot"][0].as_py(), parent["root"][0].as_py())
 
     parents = above.select("g", F.col("pos").alias("block"), "subroot", "root", "path").groupBy("g", "block")
-    return _block(level, *more).groupBy("g", "block").cogroup(parents).applyInArrow(run, schema)
+    return _block(level, stride, *more).groupBy("g", "block").cogroup(parents).applyInArrow(run, schema)
 
 
 def _keep_paths(table: pa.Table, paths, subroot: bytes, root: bytes) -> pa.Table:
@@ -154,7 +155,7 @@ def _keep_paths(table: pa.Table, paths, subroot: bytes, root: bytes) -> pa.Table
 PATHS = "g string, pos long, subroot binary, root binary, path array<string>"
 
 
-def _parents(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
+def _parents(levels: list[DataFrame], ends: DataFrame, stride: int) -> DataFrame:
     """Paths to hand to the lowest level. ``ends``: g, at, subroot, root and the path from the tree's top on."""
     tops = ends.withColumn("pos", F.lit(0).cast("long"))
     above = None
@@ -162,7 +163,7 @@ def _parents(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
         here = tops.where(F.col("at") == k).select("g", "pos", "subroot", "root", "path")
         above = here if above is None else above.unionByName(here)
         if k:
-            above = saved(_descend(levels[k], above, [], _keep_paths, PATHS), "paths")
+            above = saved(_descend(levels[k], above, stride, [], _keep_paths, PATHS), "paths")
     return above
 
 
@@ -184,7 +185,7 @@ def proofs(manifest: Manifest, paths: bool = False) -> DataFrame:
         return pa.table({"g": table["name"], "at": table["at"], "subroot": table["node"], "root": roots, "path": pa.array(list(found), pa.list_(pa.string()))})
 
     ends = _descend(
-        manifest.top[0], _parents(manifest.top, top), ["name", "at"], of_groups,
+        manifest.top[0], _parents(manifest.top, top, manifest.stride), manifest.stride, ["name", "at"], of_groups,
         "g string, at int, subroot binary, root binary, path array<string>",
     )
 
@@ -204,8 +205,8 @@ def proofs(manifest: Manifest, paths: bool = False) -> DataFrame:
 
     kind = manifest.groups[0].schema["id"].dataType.simpleString()
     schema = f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    above = _parents(manifest.groups, saved(ends, "tops"))
-    return _descend(manifest.groups[0], above, ["id", "claim"], of_leaves, schema + (", path array<string>" if paths else ""))
+    above = _parents(manifest.groups, saved(ends, "tops"), manifest.stride)
+    return _descend(manifest.groups[0], above, manifest.stride, ["id", "claim"], of_leaves, schema + (", path array<string>" if paths else ""))
 
 
 #: What a document's leaf covers, in order.
@@ -213,7 +214,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def tampered_proofs(docs: DataFrame) -> DataFrame:
+def tampered_proofs(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for every row of ``docs``.
 
     One tree per lang, leaves by doc_id. Where 3 divides crc32 of the decimal doc_id, A-Z of the text are
@@ -229,4 +230,4 @@ def tampered_proofs(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("lang").alias("grp"), leaf_hash(source).alias("node"),
         F.when(hit, leaf_hash(lowered)).alias("claim"),
     )
-    return proofs(build(leaves)).withColumnRenamed("id", "doc_id")
+    return proofs(build(leaves, stride)).withColumnRenamed("id", "doc_id")

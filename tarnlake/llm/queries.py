@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnlake.llm import bitsliced, html_text, licenses, line_dedup, lm, merkle, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from tarnlake.llm import bitsliced, html_text, licenses, line_dedup, lm, merkle, mixing, negatives, ngram_join, packing, quality_model, quality_rules, suffix_dedup
 from tarnlake.llm.common import read
 from tarnlake.session import prepare
 
@@ -203,6 +203,36 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query(
+    "op13_hard_negatives",
+    """
+    WITH e AS MATERIALIZED (
+        SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS MATERIALIZED (
+        SELECT a.row, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+        FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+    ),
+    p AS (
+        SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM s WHERE same
+        QUALIFY place <= 5
+    ),
+    n AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+            row_number() OVER (PARTITION BY p.row, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+        FROM p JOIN s ON p.row = s.row AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
