@@ -11,7 +11,7 @@ import numpy as np
 import regex
 
 #: Words kept per worker process; the memory starts anew beyond.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: Parts of words kept, and words a lexicon holds before its user clears it.
 KEPT_PIECES = 200_000
 LEXICON_WORDS = 600_000
