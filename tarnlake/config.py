@@ -33,9 +33,19 @@ class Quality:
     custom_sql: str | None = None
 
 
+@dataclass(frozen=True)
+class Scd:
+    """How rows meet those a table holds: kind 1 overwrites by key, kind 2 keeps versions of the tracked columns."""
+
+    kind: int
+    key: Sequence[str]
+    ts: str
+    tracked: Sequence[str] = ()
+
+
 @dataclass(frozen=True)
 class Pipeline:
-    """source -> steps -> quality gate -> table in a layer."""
+    """source -> steps -> contract -> rules -> quality gate -> table in a layer."""
 
     name: str
     source: str
@@ -49,6 +59,10 @@ class Pipeline:
     watermark_col: str | None = None
     partition_by: Sequence[str] = ()
     lateness: str | None = None
+    rules: Sequence[Mapping[str, Any]] = ()
+    contract: Mapping[str, str] = field(default_factory=dict)
+    scd: Scd | None = None
+    attempts: int = 1
 
     @property
     def target(self) -> str:
@@ -82,6 +96,14 @@ def _names(value: str | Sequence[str] | None) -> tuple[str, ...]:
     return tuple(value or ())
 
 
+def _scd(raw: Mapping[str, Any] | None) -> Scd | None:
+    if not raw:
+        return None
+    if raw["type"] not in (1, 2):
+        raise ValueError(f"unknown kind of slowly changing dimension: {raw['type']!r}")
+    return Scd(raw["type"], _names(raw["key"]), raw["ts"], _names(raw.get("tracked")))
+
+
 def _pipeline(name: str, raw: Mapping[str, Any]) -> Pipeline:
     gate = dict(raw.get("quality") or {})
     known = {k: gate[k] for k in ("completeness", "row_count_min", "custom_sql") if k in gate}
@@ -98,6 +120,10 @@ def _pipeline(name: str, raw: Mapping[str, Any]) -> Pipeline:
         watermark_col=raw.get("watermark_col"),
         partition_by=_names(raw.get("partition_by")),
         lateness=raw.get("lateness"),
+        rules=tuple(raw.get("rules") or ()),
+        contract=dict(raw.get("contract") or {}),
+        scd=_scd(raw.get("scd")),
+        attempts=int(raw.get("retry_attempts", 1)),
     )
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -128,10 +129,22 @@ def _result(label: Column, checked: Column, failed: Column) -> list[Column]:
     ]
 
 
-def evaluate_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def rule_from_dict(raw: Mapping[str, Any]) -> Rule:
+    """A rule as a project file states it: ``type``, ``column``, ``on_failure``, ``enabled``; the rest are settings."""
+    own = {"type", "column", "on_failure", "enabled"}
+    config = {k: v for k, v in raw.items() if k not in own}
+    return Rule(raw["type"].upper(), raw.get("column"), config, raw.get("on_failure", "warn"), raw.get("enabled", True))
+
+
+def _no_tables(name: str) -> DataFrame:
+    raise LookupError(f"no table {name!r} to look references up in")
+
+
+def evaluate_rules(df: DataFrame, rules: Sequence[Rule], tables: Callable[[str], DataFrame] = _no_tables) -> DataFrame:
     """One row per enabled rule: ``rule, checked, failed, pass_pct, passed``.
 
-    All row rules become aggregates of a single scan. UNIQUE rules share one more.
+    All row rules become aggregates of a single scan. UNIQUE rules share one more, every FK rule
+    counts its values and meets the table that ``tables`` gives for ``ref_table``.
     """
     active = [r for r in rules if r.enabled]
     row_rules = [r for r in active if r.kind not in ("UNIQUE", "FK")]
@@ -158,6 +171,9 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     unique = [r for r in active if r.kind == "UNIQUE"]
     if unique:
         parts.append(_unique_rules(df, unique))
+    for r in active:
+        if r.kind == "FK":
+            parts.append(foreign_key_rule(df, r.column, tables(r.config["ref_table"]), r.config["ref_col"]))
     if not parts:
         raise ValueError("no enabled rule")
     return functools.reduce(DataFrame.unionByName, parts)
@@ -201,7 +217,35 @@ class QualityFailure(RuntimeError):
     """A rule or gate that must hold before a write did not."""
 
 
-def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+def _bad_values(df: DataFrame, rule: Rule, tables: Callable[[str], DataFrame]) -> DataFrame:
+    """The values of a rule's column that break it: repeated ones, or ones without a reference."""
+    values = df.filter(F.col(rule.column).isNotNull()).groupBy(F.col(rule.column).alias("value")).agg(F.count("*").alias("n"))
+    if rule.kind == "UNIQUE":
+        return values.filter("n > 1").select("value")
+    keys = tables(rule.config["ref_table"]).select(F.col(rule.config["ref_col"]).alias("value"))
+    return values.join(keys, "value", "left_anti").select("value")
+
+
+def mark_rows(df: DataFrame, rules: Sequence[Rule], tables: Callable[[str], DataFrame] = _no_tables) -> DataFrame:
+    """``df`` with ``broken``: the labels of the rules that each row breaks, set apart by commas.
+
+    A rule over more than the row first finds its bad values, once each; rows then look theirs up.
+    """
+    flags = {}
+    marked = df
+    for r in rules:
+        if r.kind in ("UNIQUE", "FK"):
+            flag = f"bad_{uuid.uuid4().hex}"
+            bad = _bad_values(df, r, tables).select(F.col("value").alias(f"{flag}_v"), F.lit(True).alias(flag))
+            marked = marked.join(bad, F.col(r.column) == F.col(f"{flag}_v"), "left").drop(f"{flag}_v")
+            flags[flag] = F.col(flag)
+        else:
+            flags[len(flags)] = bad_row(r)
+    labels = [F.when(test, F.lit(r.label)) for r, test in zip(rules, flags.values(), strict=True)]
+    return marked.withColumn("broken", F.concat_ws(",", *labels)).drop(*[f for f in flags if isinstance(f, str)])
+
+
+def split_rows(df: DataFrame, rules: Sequence[Rule], tables: Callable[[str], DataFrame] = _no_tables) -> tuple[DataFrame, DataFrame]:
     """(rows to keep, quarantined rows with the list of broken rules).
 
     Rules with ``on_failure=skip`` take rows out; ``warn`` rules only report.
@@ -209,19 +253,23 @@ def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
     skip = [r for r in rules if r.enabled and r.on_failure == "skip"]
     if not skip:
         return df, df.limit(0).withColumn("broken", F.lit(""))
-    broken = F.concat_ws(",", *[F.when(bad_row(r), F.lit(r.label)) for r in skip])
-    marked = df.withColumn("broken", broken)
+    marked = mark_rows(df, skip, tables)
     return marked.filter("broken = ''").drop("broken"), marked.filter("broken <> ''")
 
 
-def enforce(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rows to write; raises before the write when a ``fail`` rule is broken."""
+def refuse_broken(df: DataFrame, rules: Sequence[Rule], tables: Callable[[str], DataFrame] = _no_tables) -> None:
+    """Raise when a rule with ``on_failure=fail`` is broken."""
     hard = [r for r in rules if r.enabled and r.on_failure == "fail"]
     if hard:
-        broken = evaluate_rules(df, hard).filter("NOT passed").select("rule").collect()
+        broken = evaluate_rules(df, hard, tables).filter("NOT passed").select("rule").collect()
         if broken:
             raise QualityFailure(", ".join(sorted(r["rule"] for r in broken)))
-    return split_rows(df, rules)[0]
+
+
+def enforce(df: DataFrame, rules: Sequence[Rule], tables: Callable[[str], DataFrame] = _no_tables) -> DataFrame:
+    """Rows to write; raises before the write when a ``fail`` rule is broken."""
+    refuse_broken(df, rules, tables)
+    return split_rows(df, rules, tables)[0]
 
 
 # --- table tests ----------------------------------------------------------------

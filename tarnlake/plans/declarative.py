@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.config import project_from_dict
 from tarnlake.functions.scoring import ladder
-from tarnlake.operators.graph import longest_depth
+from tarnlake.operators.graph import ancestor_chain, longest_depth
 from tarnlake.operators.runs import Runner
 from tarnlake.operators.transforms import (
     apply_steps,
@@ -248,22 +251,134 @@ def run_all_status(spark, sf_dir):
 
 
 @query("lineage_events", """
-    SELECT 'transform' AS operation, 'silver' AS layer, 'raw_customers' AS source,
-           'silver_customers' AS destination, count(*) AS input_count,
-           count(*) FILTER (c_acctbal > 0) AS output_count FROM customer
+    WITH revenue AS (SELECT count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0)
+    SELECT 'ingest' AS operation, 'bronze' AS layer, 'customer.parquet' AS source,
+           'raw_customers' AS destination, count(*) AS input_count, count(*) AS output_count FROM customer
+    UNION ALL SELECT 'ingest', 'bronze', 'orders.parquet', 'raw_orders', count(*), count(*) FROM orders
+    UNION ALL SELECT 'transform', 'silver', 'raw_customers', 'silver_customers', count(*),
+           count(*) FILTER (c_acctbal > 0) FROM customer
     UNION ALL SELECT 'transform', 'silver', 'raw_orders', 'silver_orders', count(*), count(*) FROM orders
-    UNION ALL SELECT 'transform', 'gold', 'silver_orders', 'gold_customer_revenue',
-           (SELECT count(*) FROM orders), count(DISTINCT o_custkey)
-      FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
+    UNION ALL SELECT 'enrich', 'gold', 'silver_orders', 'gold_customer_revenue', (SELECT count(*) FROM orders), n FROM revenue
     """)
 def lineage_events(spark, sf_dir):
+    file = F.regexp_extract("source", "[^/]+$", 0).alias("source")
     return (
         _ran(spark, sf_dir)
         .lineage()
-        .select("operation", "layer", "source", "destination", "input_count", "output_count")
+        .select("operation", "layer", file, "destination", "input_count", "output_count")
+    )
+
+
+@query("lineage_run_chain", """
+    WITH revenue AS (SELECT count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0)
+    SELECT 'gold_customer_revenue' AS start, 0::BIGINT AS distance, 'enrich' AS operation, 'gold_customer_revenue' AS destination, n AS row_count FROM revenue
+    UNION ALL SELECT 'gold_customer_revenue', 1, 'transform', 'silver_orders', count(*) FROM orders
+    UNION ALL SELECT 'gold_customer_revenue', 2, 'ingest', 'raw_orders', count(*) FROM orders
+    UNION ALL SELECT 'silver_orders', 0, 'transform', 'silver_orders', count(*) FROM orders
+    UNION ALL SELECT 'silver_orders', 1, 'ingest', 'raw_orders', count(*) FROM orders
+    UNION ALL SELECT 'silver_customers', 0, 'transform', 'silver_customers', count(*) FILTER (c_acctbal > 0) FROM customer
+    UNION ALL SELECT 'silver_customers', 1, 'ingest', 'raw_customers', count(*) FROM customer
+    """)
+def lineage_run_chain(spark, sf_dir):
+    """Where the rows of each table that the runner wrote came from, by the parents it recorded."""
+    events = _ran(spark, sf_dir).lineage()
+    starts = events.filter("operation <> 'ingest'").select(F.col("event_id").alias("node"))
+    chain = ancestor_chain(events, "event_id", "parent_id", starts)
+    told = events.select(F.col("event_id").alias("node"), "operation", "destination", F.col("output_count").alias("row_count"))
+    names = events.select(F.col("event_id").alias("event"), F.col("destination").alias("name"))
+    return (
+        chain.join(told, "node")
+        .join(names, F.col("start") == F.col("event"))
+        .select(F.col("name").alias("start"), "distance", "operation", "destination", "row_count")
     )
 
 
+def orders_project(landed: str, sf_dir: str):
+    """Orders loaded as they land, held to rules over several tables, into a dimension of each customer's last order."""
+    return project_from_dict(
+        {
+            "sources": {
+                "landed": {"type": "parquet", "path": landed},
+                "customers": {"type": "parquet", "path": f"{sf_dir.rstrip('/')}/customer.parquet"},
+            },
+            "pipelines": {
+                "customers": {
+                    "source": "customers",
+                    "transforms": [{"type": "filter", "condition": "c_acctbal > 0"}],
+                    "destination": "silver_customers",
+                },
+                "load": {
+                    "source": "landed",
+                    "destination": "silver_orders",
+                    "fetch_mode": "incremental",
+                    "watermark_col": "o_orderdate",
+                    "depends_on": ["customers"],
+                    "rules": [
+                        {"type": "FK", "column": "o_custkey", "ref_table": "silver_customers", "ref_col": "c_custkey", "on_failure": "skip"},
+                        {"type": "RANGE", "column": "o_totalprice", "min": 50000, "on_failure": "skip"},
+                        {"type": "UNIQUE", "column": "o_orderkey", "on_failure": "fail"},
+                    ],
+                },
+                "last_order": {
+                    "source": "silver_orders",
+                    "destination": "gold_last_order",
+                    "depends_on": ["load"],
+                    "scd": {"type": 1, "key": "o_custkey", "ts": "o_orderdate"},
+                },
+                "price_levels": {
+                    "source": "silver_orders",
+                    "destination": "gold_price_levels",
+                    "depends_on": ["load"],
+                    "scd": {"type": 2, "key": "o_custkey", "ts": "o_orderdate", "tracked": ["o_orderpriority"]},
+                },
+            },
+        }
+    )
+
+
+@query("project_two_deliveries", """
+    WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0),
+    marked AS (
+      SELECT *, concat_ws(',', CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM c) THEN 'FK:o_custkey' END,
+                          CASE WHEN o_totalprice < 50000 THEN 'RANGE:o_totalprice' END) AS broken FROM orders),
+    kept AS (SELECT * FROM marked WHERE broken = ''),
+    last AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1),
+    moments AS (SELECT o_custkey, o_orderdate AS ts, max(o_orderpriority) AS v FROM kept GROUP BY 1, 2),
+    versions AS (SELECT * FROM moments QUALIFY lag(v) OVER (PARTITION BY o_custkey ORDER BY ts) IS DISTINCT FROM v)
+    SELECT 'silver_orders' AS place, count(*) AS row_count, round(sum(o_totalprice), 2) AS price FROM kept
+    UNION ALL SELECT 'gold_last_order', count(*), round(sum(o_totalprice), 2) FROM last
+    UNION ALL SELECT 'gold_price_levels', count(*), 0.0 FROM versions
+    UNION ALL SELECT 'open versions', count(DISTINCT o_custkey), 0.0 FROM versions
+    UNION ALL SELECT broken, count(*), round(sum(o_totalprice), 2) FROM marked WHERE broken <> '' GROUP BY broken
+    UNION ALL SELECT 'hashes', count(*), 0.0 FROM orders
+    """)
+def project_two_deliveries(spark, sf_dir):
+    """The project above over orders in two deliveries, every run made twice: nothing is lost or doubled."""
+    landed = scratch_path(spark, "landed")
+    runner = Runner(spark, orders_project(landed, sf_dir), Lakehouse(spark, scratch_path(spark, "lake")))
+    orders = table(spark, sf_dir, "orders")
+    border = F.lit("1998-01-01").cast("timestamp_ntz")
+    for part in (orders.filter(F.col("o_orderdate") < border), orders.filter(~(F.col("o_orderdate") < border))):
+        part.write.mode("append").parquet(landed)
+        for _ in range(2):
+            runner.run_all()
+    lake, nothing = runner.lake, F.lit(0.0).alias("price")
+    price = F.round(F.sum("o_totalprice"), 2).alias("price")
+    n = F.count("*").alias("row_count")
+    levels = lake.read("gold_price_levels")
+    return functools.reduce(
+        DataFrame.unionByName,
+        [
+            lake.read("silver_orders").agg(n, price).withColumn("place", F.lit("silver_orders")),
+            lake.read("gold_last_order").agg(n, price).withColumn("place", F.lit("gold_last_order")),
+            levels.agg(n, nothing).withColumn("place", F.lit("gold_price_levels")),
+            levels.filter("is_current").agg(n, nothing).withColumn("place", F.lit("open versions")),
+            runner.quarantine("load").groupBy(F.col("broken").alias("place")).agg(n, price),
+            runner.hashes().agg(n, nothing).withColumn("place", F.lit("hashes")),
+        ],
+    ).select("place", "row_count", "price")
+
+
 def weekly_edges(events):
     """Edges between an event type in one week and a type its user sends in a later one.
 

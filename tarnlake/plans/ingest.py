@@ -15,7 +15,8 @@ from tarnlake.operators.incremental import (
     hash_counts,
     reset_source,
 )
-from tarnlake.operators.merge import scd1_merge, scd2_history, scd2_merge
+from tarnlake.operators.merge import scd2_history
+from tarnlake.operators.upserts import merge_scd1, merge_scd2, put_keyed
 from tarnlake.plans.registry import query, table
 from tarnlake.session import scratch_path
 from tarnlake.sources.readers import (
@@ -326,7 +327,12 @@ def scd1(spark, sf_dir):
             F.col("o_orderdate").alias("changed_at"),
         )
     )
-    return scd1_merge(target, changes, ["c_custkey"], "changed_at")
+    lake = Lakehouse(spark, scratch_path(spark, "lake"))
+    with lake.batch() as batch:
+        put_keyed(batch, lake.key("dim_customer"), target, ["c_custkey"])
+    with lake.batch() as batch:
+        merge_scd1(batch, lake.key("dim_customer"), changes, ["c_custkey"], "changed_at")
+    return lake.read("dim_customer")
 
 
 @query(
@@ -373,9 +379,10 @@ def scd2_incremental(spark, sf_dir):
     early = log.filter(F.col("changed_at") < border)
     batch = log.filter(F.col("changed_at") >= border)
     lake = Lakehouse(spark, scratch_path(spark, "lake"))
-    lake.write(scd2_history(early, ["c_custkey"], "changed_at", ["c_mktsegment"]), "dim_customer")
-    merged, _ = scd2_merge(lake.read("dim_customer"), batch, ["c_custkey"], "changed_at", ["c_mktsegment"])
-    return merged.withColumn(
+    for changes in (early, batch):
+        with lake.batch() as commit:
+            merge_scd2(commit, lake.key("dim_customer"), changes, ["c_custkey"], "changed_at", ["c_mktsegment"])
+    return lake.read("dim_customer").withColumn(
         "effective_to", F.coalesce(F.date_format("effective_to", "yyyy-MM-dd"), F.lit("open"))
     )
 

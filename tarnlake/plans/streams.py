@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.plans.registry import query, table
 from tarnlake.session import scratch_path
+from tarnlake.sources.tables import Lakehouse
 from tarnlake.streaming import events as st
 
 # Days of the deliveries that the SQL of stream_late names; its last border is the first day left out.
@@ -221,10 +222,10 @@ def stream_dedup(spark, sf_dir):
 def stream_scd1(spark, sf_dir):
     def run(stream, base):
         changes = stream.select("user_id", "event_type", "value", "ts")
-        st.upsert_table(changes, f"{base}/users", f"{base}/checkpoint", ["user_id"], "ts")
+        st.upsert_table(changes, f"{base}/lake", "users", f"{base}/checkpoint", ["user_id"], "ts")
 
     base = in_deliveries(spark, sf_dir, run, overlap=True)
-    return spark.read.parquet(f"{base}/users")
+    return Lakehouse(spark, f"{base}/lake").read("users")
 
 
 @query(

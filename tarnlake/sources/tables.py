@@ -7,12 +7,13 @@ import re
 import time
 import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.config import LAYERS, Source, layer_of
+from tarnlake.sources.manifest import Entry, Manifest, ManifestFolder, Part
 from tarnlake.sources.readers import read_source, source_stats
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -40,12 +41,12 @@ def move_path(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot move {old} to {new}")
 
 
-def child_folders(spark: SparkSession, path: str) -> list[str]:
+def child_folders(spark: SparkSession, path: str, hidden: bool = False) -> list[str]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
     found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in found if "__" not in n)
+    return sorted(n for n in found if hidden or "__" not in n)
 
 
 def write_table(
@@ -174,41 +175,141 @@ def table_name(raw: str) -> str:
     return re.sub(r"[^a-z0-9_]", "_", raw.lower())
 
 
+#: Column that deals a table's rows to its buckets while they are written.
+BUCKET = "__bucket"
+#: Rows a bucket starts with at most.
+BUCKET_ROWS = 1_000_000
+STATE = "_state"
+
+
+class Batch:
+    """Changes of one batch. All become visible together when it is committed, or none does.
+
+    Every write goes to a folder of the batch's own; only the manifest says which folders make
+    up a table. What a failed batch wrote is never read, and ``Lakehouse.vacuum`` removes it.
+    """
+
+    def __init__(self, lake: Lakehouse):
+        self.lake, self.spark, self.base = lake, lake.spark, lake.manifest()
+        self.tables, self.marks = dict(self.base.tables), dict(self.base.marks)
+        self.number = self.base.version + 1
+        self.id = f"b{self.number:08d}-{uuid.uuid4().hex[:8]}"
+        self._folders = 0
+
+    def __enter__(self) -> Batch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.commit()
+
+    def commit(self) -> Manifest:
+        done = Manifest(self.number, self.tables, self.marks)
+        self.lake.switch(done)
+        return done
+
+    def entry(self, key: str) -> Entry | None:
+        return self.tables.get(key)
+
+    def _folder(self, key: str) -> str:
+        self._folders += 1
+        return f"{key}/{self.id}-{self._folders}"
+
+    def stage(self, df: DataFrame, key: str, partition_by: Sequence[str] = (), kind: str = "") -> Part:
+        """Write rows for a table without showing them yet."""
+        folder = self._folder(key)
+        counted = Observation(f"rows_{uuid.uuid4().hex}")
+        write_table(df.observe(counted, F.count(F.lit(1)).alias("n")), f"{self.lake.root}/{folder}", partition_by=partition_by)
+        return Part(folder, counted.get["n"], kind=kind)
+
+    def stage_buckets(self, df: DataFrame, key: str, bucket: Column) -> list[Part]:
+        """Write rows as one part per bucket."""
+        folder = self._folder(key)
+        path = f"{self.lake.root}/{folder}"
+        write_table(df.withColumn(BUCKET, bucket), path, partition_by=[BUCKET])
+        if not child_folders(self.spark, path, hidden=True):
+            return []
+        counts = self.spark.read.parquet(path).groupBy(BUCKET).count().collect()
+        return [Part(f"{folder}/{BUCKET}={r[0]}", r[1], r[0]) for r in sorted(counts)]
+
+    def read_part(self, *parts: Part) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.lake.root}/{p.path}" for p in parts])
+
+    def put(self, table: str, parts: Iterable[Part], **fields) -> None:
+        """Make ``parts`` the whole table."""
+        held = self.tables.get(table, Entry())
+        self.tables[table] = replace(held, parts=tuple(parts), **fields)
+
+    def add(self, table: str, *parts: Part) -> None:
+        """Add parts to a table; an empty one only where the table has no other."""
+        held = self.tables.get(table, Entry())
+        self.put(table, (*held.parts, *(p for p in parts if p.rows or not held.parts)))
+
+    def drop(self, key: str) -> None:
+        self.tables.pop(key, None)
+
+
+def bucket_of(by: Sequence[str], n: int) -> Column:
+    # Values of different numeric types but equal text meet in one bucket.
+    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(n)).cast("int")
+
+
 class Lakehouse:
-    """Folders ``root/{bronze,silver,gold}/table`` of Parquet files."""
+    """Tables ``{bronze,silver,gold}/name`` below a root, each made up of the parts its manifest lists."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._versions = ManifestFolder(spark, f"{self.root}/_manifest")
 
-    def path(self, name: str, layer: str | None = None) -> str:
-        return f"{self.root}/{layer_of(name, layer)}/{name}"
+    def manifest(self, version: int | None = None) -> Manifest:
+        return self._versions.read(version)
 
-    def write(
-        self, df: DataFrame, name: str, layer: str | None = None, partition_by: Sequence[str] = ()
-    ) -> str:
-        path = self.path(name, layer)
-        replace_table(df, path, partition_by)
-        return path
+    def switch(self, manifest: Manifest) -> None:
+        self._versions.switch(manifest)
+
+    def batch(self) -> Batch:
+        return Batch(self)
+
+    def key(self, name: str, layer: str | None = None) -> str:
+        return f"{layer if layer == STATE else layer_of(name, layer)}/{name}"
+
+    def write(self, df: DataFrame, name: str, layer: str | None = None, partition_by: Sequence[str] = ()) -> str:
+        """Replace a table, also one that ``df`` itself reads; returns the folder of its only part."""
+        with self.batch() as batch:
+            part = batch.stage(df, self.key(name, layer), partition_by)
+            batch.put(self.key(name, layer), [part], buckets=0, key=())
+        return f"{self.root}/{part.path}"
 
     def append(self, df: DataFrame, name: str, layer: str | None = None, partition_by: Sequence[str] = ()) -> str:
-        path = self.path(name, layer)
-        write_table(df, path, mode="append", partition_by=partition_by)
-        return path
+        with self.batch() as batch:
+            part = batch.stage(df, self.key(name, layer), partition_by)
+            batch.add(self.key(name, layer), part)
+        return f"{self.root}/{part.path}"
 
     def tables(self) -> list[tuple[str, str]]:
         """``(layer, name)`` of every table."""
-        return [
-            (layer, name)
-            for layer in LAYERS
-            for name in child_folders(self.spark, f"{self.root}/{layer}")
-        ]
+        keys = (k.split("/", 1) for k in self.manifest().tables)
+        return sorted(((layer, name) for layer, name in keys if layer != STATE), key=lambda t: (LAYERS.index(t[0]), t[1]))
 
     def exists(self, name: str, layer: str | None = None) -> bool:
-        return path_exists(self.spark, self.path(name, layer))
+        return self.key(name, layer) in self.manifest().tables
 
-    def read(self, name: str, layer: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.path(name, layer))
+    def entry(self, name: str, layer: str | None = None) -> Entry:
+        found = self.manifest().tables.get(self.key(name, layer))
+        if found is None:
+            raise LookupError(f"no table {self.key(name, layer)}")
+        return found
+
+    def parts(self, name: str, layer: str | None = None) -> list[str]:
+        return [f"{self.root}/{p.path}" for p in self.entry(name, layer).parts]
+
+    def read(self, name: str, layer: str | None = None, version: int | None = None) -> DataFrame:
+        """A table as it stands, or as it stood after an earlier batch (until ``vacuum``)."""
+        held = self.manifest(version).tables.get(self.key(name, layer))
+        if held is None:
+            raise LookupError(f"no table {self.key(name, layer)}")
+        return self.spark.read.parquet(*[f"{self.root}/{p.path}" for p in held.parts])
 
     def find(self, name: str) -> DataFrame | None:
         """A table by name in whichever layer holds it."""
@@ -217,6 +318,43 @@ class Lakehouse:
                 return self.read(name, layer)
         return None
 
+    def compact(self, name: str, layer: str | None = None) -> int:
+        """Fold a table's parts into one (bucketed tables: one per bucket and kind); returns the parts before."""
+        key = self.key(name, layer)
+        with self.batch() as batch:
+            held = batch.entry(key)
+            groups: dict[tuple, list[Part]] = {}
+            for p in held.parts:
+                groups.setdefault((p.bucket, p.kind), []).append(p)
+            parts = []
+            for (bucket, kind), own in groups.items():
+                if len(own) > 1:
+                    own = [replace(batch.stage(batch.read_part(*own), key, kind=kind), bucket=bucket)]
+                parts += own
+            if sum(p.rows for p in parts) != held.rows:
+                raise RuntimeError(f"compaction of {key} changed its rows; the table is untouched")
+            batch.put(key, parts)
+        return len(held.parts)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove the folders that none of the last ``keep`` versions lists, and older versions; returns the folders.
+
+        Not to be run while a batch is under way.
+        """
+        versions = self._versions.versions()
+        held = [self.manifest(v) for v in versions[-keep:]]
+        used = {p.path.split("/")[2] for m in held for e in m.tables.values() for p in e.parts}
+        gone = 0
+        for layer in (*LAYERS, STATE):
+            for name in child_folders(self.spark, f"{self.root}/{layer}"):
+                for folder in child_folders(self.spark, f"{self.root}/{layer}/{name}"):
+                    if folder not in used:
+                        remove_path(self.spark, f"{self.root}/{layer}/{name}/{folder}")
+                        gone += 1
+        for v in versions[:-keep]:
+            self._versions.forget(v)
+        return gone
+
     def register_views(self) -> list[str]:
         """Temp views for every table under ``name`` and ``layer_name``."""
         names = []

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from tarnlake.config import Source
 from tarnlake.functions.hashing import row_hash
-from tarnlake.operators.merge import scd1_merge
+from tarnlake.operators.upserts import merge_scd1
 from tarnlake.sources.readers import equality_filter
-from tarnlake.sources.tables import path_exists, replace_table
+from tarnlake.sources.tables import Lakehouse, path_exists
 
 # --- sources --------------------------------------------------------------------
 
@@ -160,17 +160,21 @@ def without_copies(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def upsert_table(
-    stream: DataFrame, path: str, checkpoint: str, pk: Sequence[str], ts: str
+    stream: DataFrame, root: str, name: str, checkpoint: str, pk: Sequence[str], ts: str
 ) -> None:
-    """Merge every batch into a table by key; the newest row of a key wins."""
-    spark = stream.sparkSession
+    """Merge every batch into a lakehouse table by key; the newest row of a key wins.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if path_exists(spark, path):
-            target = spark.read.parquet(path)
-        else:
-            target = spark.createDataFrame([], batch.schema)
-        replace_table(scd1_merge(target, batch, pk, ts), path)
+    A batch rewrites the buckets its keys fall into, and its number is committed with the rows: a batch
+    that is delivered again after a crash changes nothing.
+    """
+    lake = Lakehouse(stream.sparkSession, root)
+    mark = f"stream_{name}"
+
+    def merge(rows: DataFrame, number: int) -> None:
+        with lake.batch() as batch:
+            if int(batch.marks.get(mark, -1)) < number:
+                merge_scd1(batch, lake.key(name), rows, pk, ts)
+                batch.marks[mark] = str(number)
 
     each_batch(stream, merge, checkpoint)
 

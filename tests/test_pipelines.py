@@ -132,7 +132,9 @@ def test_csv_pipeline_end_to_end(spark, tmp_path):
     assert rows(runner.lake.read("bronze_users").select("name")) == [("Ann",), ("Cem",)]
     assert ("silver", "strict") not in runner.lake.tables()
     assert runner.run_log().count() == 3
-    assert runner.lineage().count() == 1
+    ingest, transform = runner.lineage().orderBy("operation").collect()
+    assert (ingest["operation"], transform["operation"]) == ("ingest", "transform")
+    assert transform["parent_id"] == ingest["event_id"] and ingest["parent_id"] is None
 
 
 def incremental_runner(spark, path):
