@@ -1,4 +1,4 @@
-"""Keyword search, rank fusion and reranking."""
+"""Keyword search by scan or by a stored term index, rank fusion and reranking."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import spaced_words, term_count, word_count
 from tarnlake.session import reliable_checkpoint
+from tarnlake.sources.tables import Lakehouse, bucket_of
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -55,15 +56,78 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     )
     matched = _add([h.cast("int") for h in hits])
     found = counted.filter(matched > 0).withColumn("_s", stats.scalar())
+    kept = F.col("_s")
+    score = _score([(F.col(f"_tf{i}"), kept[f"df{i}"]) for i in range(len(terms))], F.col("_len"), kept["n"], kept["mean_len"])
+    return found.select(id_col, score.alias("score"), matched.alias("matched"))
+
 
-    def part(i: int) -> Column:
-        n, freq = F.col("_s")["n"], F.col("_s")[f"df{i}"]
-        tf = F.col(f"_tf{i}")
+def _score(terms: Sequence[tuple[Column, Column]], length: Column, n: Column, mean_len: Column) -> Column:
+    """BM25 from each term's count in the document and in how many documents it stands."""
+    parts = []
+    for tf, freq in terms:
         idf = F.ln(1 + (n - freq + 0.5) / (freq + 0.5))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_s")["mean_len"]))
+        parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_len)))
+    return F.round(_add(parts), 6)
 
-    score = F.round(_add([part(i) for i in range(len(terms))]), 6)
-    return found.select(id_col, score.alias("score"), matched.alias("matched"))
+
+class TermIndex:
+    """Postings of a text collection, kept in a lakehouse and added to batch by batch.
+
+    ``{name}_postings`` holds term, id, the term's count and the document's length, in buckets of the
+    term and sorted by it; ``{name}_sizes`` holds documents and words of every batch. A search opens the
+    buckets of its terms and skips the row groups of others. Each row added is a document of its own;
+    a null text is a document that has no part in the mean length.
+    """
+
+    def __init__(self, lake: Lakehouse, name: str, buckets: int = 64):
+        self.lake, self.spark = lake, lake.spark
+        self.postings, self.sizes = lake.key(f"{name}_postings"), lake.key(f"{name}_sizes")
+        self.buckets = buckets
+
+    def add(self, df: DataFrame, id_col: str, text_col: str) -> None:
+        """Take in documents; they are found once all their postings are written."""
+        with self.lake.batch() as batch:
+            n = (batch.entry(self.postings).buckets if batch.entry(self.postings) else 0) or self.buckets
+            words = F.filter(F.split(spaced_words(F.col(text_col)), " "), lambda w: w != "")
+            docs = df.select(
+                F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words.alias("words")
+            )
+            counts = docs.select("id", "row", F.size("words").alias("len"), F.explode("words").alias("term"))
+            # Counted where the document lies, then sent to its term's bucket; large buckets span several files.
+            counts = counts.groupBy("id", "row", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+            parts = batch.stage_buckets(counts.withColumn("batch", F.lit(batch.number)), self.postings, bucket_of(["term"], n), sort=["term"])
+            held = batch.entry(self.postings)
+            batch.put(self.postings, [*(held.parts if held else ()), *parts], buckets=n, key=("term",))
+            length = F.when(F.col("words").isNotNull(), F.size("words"))
+            sizes = docs.agg(F.count("*").alias("docs"), F.count("words").alias("texts"), F.coalesce(F.sum(length), F.lit(0)).alias("words"))
+            batch.add(self.sizes, batch.stage(sizes, self.sizes))
+
+    def _parts(self, terms: Sequence[str]):
+        held = self.lake.manifest().tables[self.postings]
+        asked = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        hit = {r[0] for r in asked.select(bucket_of(["term"], held.buckets)).collect()}
+        return [p for p in held.parts if p.bucket in hit]
+
+    def search(self, query: str, id_col: str = "id") -> DataFrame:
+        """``id, score, matched`` of every document that holds a query term, as ``bm25`` has it."""
+        terms = query_terms(query)
+        if not terms:
+            raise ValueError("the query holds no term")
+        parts = self._parts(terms)
+        sizes = self.lake.read(self.sizes.split("/", 1)[1], self.sizes.split("/", 1)[0])
+        n, texts, words = sizes.agg(F.sum("docs"), F.sum("texts"), F.sum("words")).first()
+        if not parts:
+            return sizes.select(F.lit(0).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
+        postings = self.spark.read.parquet(*[f"{self.lake.root}/{p.path}" for p in parts]).filter(F.col("term").isin(terms))
+        # One count per query term.
+        freq = dict(postings.groupBy("term").count().collect())
+        per_doc = postings.groupBy("batch", "row", "id", "len").agg(
+            *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)],
+            F.count("*").cast("int").alias("matched"),
+        )
+        pairs = [(F.col(f"tf{i}"), F.lit(freq.get(t, 0))) for i, t in enumerate(terms)]
+        score = _score(pairs, F.col("len"), F.lit(n), F.lit(words / texts))
+        return per_doc.select(F.col("id").alias(id_col), score.alias("score"), "matched")
 
 
 def best(scored: DataFrame, id_col: str, k: int, by: Sequence[str] = ("score",)) -> DataFrame:

@@ -51,6 +51,11 @@ def _shared_root(spark: SparkSession) -> str:
     return held
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A named path in the folder the cluster names, the same at every call."""
+    return f"{_shared_root(spark)}/{name}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables, in the folder the cluster names."""
     return f"{_shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import time
@@ -55,6 +56,7 @@ def write_table(
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     compression: str = "zstd",
+    sort: Sequence[str] = (),
 ) -> None:
     """Write Parquet. With partition columns the rows are rebalanced on them first.
 
@@ -63,6 +65,8 @@ def write_table(
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if sort:
+        df = df.sortWithinPartitions(*partition_by, *sort)
     writer = df.write.mode(mode).option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -89,6 +93,16 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     swap_in(df.sparkSession, fresh, path)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes with the names, sizes or times of a folder's files."""
+    fs, p = _fs(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        s = files.next()
+        found.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
 def checksum(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free hash over all columns."""
     row = df.agg(
@@ -222,11 +236,11 @@ class Batch:
         write_table(df.observe(counted, F.count(F.lit(1)).alias("n")), f"{self.lake.root}/{folder}", partition_by=partition_by)
         return Part(folder, counted.get["n"], kind=kind)
 
-    def stage_buckets(self, df: DataFrame, key: str, bucket: Column) -> list[Part]:
-        """Write rows as one part per bucket."""
+    def stage_buckets(self, df: DataFrame, key: str, bucket: Column, sort: Sequence[str] = ()) -> list[Part]:
+        """Write rows as one part per bucket, files sorted by ``sort``."""
         folder = self._folder(key)
         path = f"{self.lake.root}/{folder}"
-        write_table(df.withColumn(BUCKET, bucket), path, partition_by=[BUCKET])
+        write_table(df.withColumn(BUCKET, bucket), path, partition_by=[BUCKET], sort=sort)
         if not child_folders(self.spark, path, hidden=True):
             return []
         counts = self.spark.read.parquet(path).groupBy(BUCKET).count().collect()

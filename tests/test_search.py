@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import chunk_text, spaced_words, term_count, word_count
 from tarnlake.operators import search, vectors
+from tarnlake.session import scratch_path
+from tarnlake.sources.tables import Batch, Lakehouse
 
 from .conftest import rows
 
@@ -59,6 +61,49 @@ def test_bm25_matches_brute_force(spark):
         search.bm25(df, "id", "t", " ?! ")
 
 
+def test_index_matches_the_scan_over_batches(spark):
+    texts = [t for t in TEXTS if t is not None] * 2 + ["The cat sat", ""]
+    rows_ = list(enumerate(texts)) + [(3, texts[3])]  # a repeated row is a document of its own
+    df = spark.createDataFrame(rows_, "id int, t string")
+    lake = Lakehouse(spark, scratch_path(spark, "index"))
+    index = search.TermIndex(lake, "texts", buckets=8)
+    index.add(df.where("id % 3 = 0"), "id", "t")
+    index.add(df.where("id % 3 > 0"), "id", "t")
+    for question in ("The cat, the a1", "nowhere to be found", "cat"):
+        want = sorted(tuple(r) for r in search.bm25(df, "id", "t", question).collect())
+        got = sorted(tuple(r) for r in index.search(question).collect())
+        assert [(i, m) for i, _, m in got] == [(i, m) for i, _, m in want]
+        assert [s for _, s, _ in got] == pytest.approx([s for _, s, _ in want], abs=2e-6)
+    with pytest.raises(ValueError):
+        index.search(" ?! ")
+
+
+def test_search_opens_only_the_buckets_of_its_terms(spark):
+    df = spark.range(300).selectExpr("id", "concat('w', id, ' common') AS t")
+    lake = Lakehouse(spark, scratch_path(spark, "index"))
+    index = search.TermIndex(lake, "texts", buckets=16)
+    index.add(df, "id", "t")
+    assert len(lake.parts("texts_postings")) == 16
+    opened = index.search("w7").inputFiles()
+    assert {f.rsplit("/", 2)[1] for f in opened} == {f"__bucket={index._parts(['w7'])[0].bucket}"}
+    assert [r["id"] for r in index.search("w7").collect()] == [7]
+    files = set(lake.parts("texts_postings"))
+    index.add(df.limit(1), "id", "t")
+    assert files < set(lake.parts("texts_postings"))
+
+
+def test_index_dies_halfway_and_is_built_again(spark, monkeypatch):
+    lake = Lakehouse(spark, scratch_path(spark, "index"))
+    index = search.TermIndex(lake, "texts", buckets=4)
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string")
+    with monkeypatch.context() as patched, pytest.raises(OSError):
+        patched.setattr(Batch, "stage", lambda *_: (_ for _ in ()).throw(OSError()))
+        index.add(df, "id", "t")
+    assert lake.manifest().version == 0
+    index.add(df, "id", "t")
+    assert [(r["id"], r["matched"]) for r in index.search("B c").collect()] == [(1, 1)]
+
+
 def test_chunks(spark):
     texts = ["", "abc", "abcde", "abcdef", "abcdefgh", "abcdefghi", "日本語テキスト長い"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
