@@ -16,6 +16,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+def as_row(docs: DataFrame, *named: str) -> DataFrame:
+    """The ``named`` columns and, as struct ``row``, all columns: whatever they are called, no other name meets them."""
+    return docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def n_words(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -48,6 +53,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Copies of one row that one task makes.
+COPIES = 1_000
+
+
+def repeated(df: DataFrame, times: str, copies: int = COPIES) -> DataFrame:
+    """Every row as often as its column ``times`` says; the copies of one row are made by many tasks."""
+    columns = [c for c in df.columns if c != times]
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {copies}"))))
+    if df.where(F.col(times) > copies).limit(1).count():
+        parts = parts.repartition(*columns, "_part")
+    here = F.least(F.lit(copies).cast("long"), F.col(times) - F.col("_part") * copies)
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), here))).select(*columns)
+
+
 def running_sums(df: DataFrame, order: list[str], value: str, out: str, group: str | None = None) -> DataFrame:
     """Sum of ``value`` over the earlier rows, in ``order`` (within ``group``, which leads it).
 

@@ -66,8 +66,11 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select("doc_id", text.alias("_t"))
-    words = F.regexp_extract_all("_t", F.lit(f"{_CHAR}+"), F.lit(0))
-    spoken = F.transform(words, lambda w: F.lower(w))
+    # A-Z only: other capitals, and signs such as U+212A that fold to letters, stay as they are.
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    ascii_only = F.octet_length("_t") == F.length("_t")
+    lowered = F.when(ascii_only, F.lower("_t")).otherwise(F.translate("_t", upper, upper.lower()))
+    spoken = F.regexp_extract_all(lowered, F.lit(f"{_CHAR}+"), F.lit(0))
 
     sets = {(k, label): _template_words(body) for k, (label, body) in enumerate(templates)}
     vocabulary = sorted({w for body in sets.values() for w in body})  # bounded by the templates

@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.llm.common import saved
+from tarnlake.llm.common import COPIES, repeated, saved
 
 #: Candidates and anchors (one tree) that meet in one task, and candidates scored at once there.
 BLOCK_ROWS, TREE_ROWS, TILE = 65_536, 2_048, 8_192
-#: Copies of an output row that one task makes of one row.
-COPIES = 1_000
 LONGS = np.iinfo(np.int64)
 
 
@@ -208,7 +206,7 @@ def _pairs(rows: DataFrame, anchors: DataFrame, n_blocks: int, n_trees: int):
 
 def hard_negatives(
     vectors: DataFrame, is_anchor: Column, label: Column, n_positives: int = 5, n_negatives: int = 10, window=(30, 90), scale: float = 256.0,
-    tile_rows: int = TILE,
+    tile_rows: int = TILE, copies: int = COPIES,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of ``vectors`` (vec_id, embedding, label).
 
@@ -271,13 +269,12 @@ def hard_negatives(
     names = found.select("a", F.col("place").cast("long").alias("place"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = mined.withColumnsRenamed({"id": "negative_id", "score": "negative_score"}).join(names, ["a", "place"])
     out = out.join(anchors.select("a", F.col("vec_id").alias("anchor_id"), "times"), "a")
-    # A repeated anchor's rows are copied in two steps, so that no task makes all copies of one row.
-    many = F.explode(F.sequence(F.lit(0), F.expr(f"(times - 1) div {COPIES}")))
-    out = out.withColumn("part", many)
-    if anchors.where(F.col("times") > COPIES).limit(1).count():
-        out = out.repartition("a", "place", "rank", "part")
-    fewer = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("times") - F.col("part") * COPIES)))
-    return out.withColumn("copy", fewer).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    # Which anchors are repeated is known from their own small table.
+    once, again = out.where("times = 1").select(*columns), out.where("times > 1").select(*columns, "times")
+    if not anchors.where("times > 1").limit(1).count():
+        return once
+    return once.unionByName(repeated(again, "times", copies))
 
 
 def _longs(rows: list[tuple], names: list[str]) -> pa.Table:

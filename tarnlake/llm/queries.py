@@ -103,14 +103,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op7_topk_bitsliced",
     """
     WITH e AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)::BIGINT) AS v FROM embeddings
         WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ),
     p AS (
-        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
         FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
     ),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+    r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
 )

@@ -80,10 +80,9 @@ def test_small_tables(spark):
     assert mined(spark.createDataFrame([(1, [1.0], 1, 1, "", 1)], SCHEMA)) == []
 
 
-def test_repeated_anchor_rows_are_copied(spark, monkeypatch):
-    monkeypatch.setattr(negatives, "COPIES", 4)
+def test_repeated_anchor_rows_are_copied(spark):
     rows = [(100, [1.0, 0.0], 1, 1, "", 1)] * 11 + [(1, [1.0, 0.1], 1, 1, "", 1), (2, [0.5, 0.5], 2, 1, "", 1), (2, [0.5, 0.5], 2, 1, "", 1)]
-    assert mined(spark.createDataFrame(rows, SCHEMA)) == by_hand(rows)
+    assert mined(spark.createDataFrame(rows, SCHEMA), copies=4) == by_hand(rows)
     assert len(by_hand(rows)) == 22
 
 

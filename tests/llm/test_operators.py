@@ -302,6 +302,23 @@ def test_top_k(spark, monkeypatch, block, group):
     assert len(few) == 4
 
 
+def test_top_k_of_any_finite_component_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 40)
+    dice = np.random.default_rng(2)
+    rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in enumerate(dice.normal(0, 0.5, (160, 4)))]
+    rows += [(200, [20_000.0, -1.0, 0.5, 0.0]), (201, [-20_000.0, 3.0, 1.0, 2.0]), (250, [1e25] * 4), (251, [-1e25, 1.0, 1.0, 1.0]), (252, [1.0])]
+    rows += [rows[3]] * 6 + [rows[50]] * 2 + [(50, [0.25] * 4)]
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [(i, [long(int(np.floor(256 * float(np.float32(x))))) for x in v]) for i, v in rows]
+    want = []
+    for q, a in whole:
+        if q % 50 == 0:
+            best = sorted((-long(sum(x * y for x, y in zip(a, b, strict=False))), c) for c, b in whole if c != q)[:5]
+            want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
 # --- 8 ----------------------------------------------------------------------------------------------
 
 
@@ -467,3 +484,44 @@ def test_empty_tables(nothing, spark):
     assert suffix_dedup.remove_repeats(nothing).count() == line_dedup.without_copies(nothing).count() == 0
     assert quality_model.classify(nothing, labels).count() == quality_rules.judge(nothing).count() == 0
     assert lm.score(nothing, TOKENIZER).count() == 0
+
+
+CLASHES = [
+    "_hash", "_lines", "_id", "_h", "_gone", "_zz", "_t", "_times", "_s", "_z", "_key", "_k", "_own", "_stays", "_score", "row", "key", "key2", "doc", "c",
+    "_n_lines", "_n_deleted", "_copies", "_epochs", "_reached", "a.b",
+]
+
+
+@pytest.mark.parametrize("stage", ["accepted", "without_copies", "one_of_each", "mixed_documents"])
+def test_stages_leave_columns_of_any_name_alone(docs, spark, stage):
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    named = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    run = {
+        "accepted": lambda d: quality_model.accepted(d, labels), "without_copies": line_dedup.without_copies,
+        "one_of_each": lambda d: ngram_join.one_of_each(d, 5, 80), "mixed_documents": mixing.mixed_documents,
+    }[stage]
+    out = run(named)
+    assert out.columns == named.columns
+    got = [r.asDict() for r in out.collect()]
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES)
+    assert sorted(repr(r["doc_id"]) for r in got) == sorted(repr(r["doc_id"]) for r in run(plain).collect())
+
+
+def test_stages_take_rows_without_an_id_and_one_row_many_times(docs, spark):
+    few = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id in (0, 1, 70)")
+    text = few.where("doc_id = 0").first()["text"]
+    more = spark.createDataFrame([(None, "no id " * 30, "en", "s", 180)], few.schema)
+    copies = few.where("doc_id = 1").selectExpr("*", "explode(sequence(1, 10000)) AS x").drop("x")
+    df = few.unionByName(more).unionByName(copies)
+    once = ngram_join.one_of_each(df, 5, 80).collect()
+    assert sorted(str(r["doc_id"]) for r in once if r["text"] != text) == sorted(["1", "None"] + (["70"] if few.where("doc_id = 70").first()["text"] != text else []))
+    assert line_dedup.without_copies(df).where("doc_id = 1").select("text").distinct().count() == 1
+    assert ngram_join.link_groups(df).where("doc_id = 1").count() == 10_001
+
+
+def test_licenses_fold_ascii_letters_only(spark):
+    body = next(body for _, body in licenses.TEMPLATES if "k" in body)
+    texts = [(1, body.upper()), (2, body.replace("k", "\u212a"))]
+    got = {r["doc_id"]: r["score"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1] == 1.0 and got[2] < 1.0
