@@ -16,9 +16,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def as_row(docs: DataFrame, *named: str) -> DataFrame:
-    """The ``named`` columns and, as struct ``row``, all columns: whatever they are called, no other name meets them."""
-    return docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def by_place(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with all columns but the ``needed`` ones named by their place, so that no name of the user's meets another."""
+    return docs.toDF(*[c if c in needed else f"c{k}" for k, c in enumerate(docs.columns)])
 
 
 def n_words(text: Column) -> Column:

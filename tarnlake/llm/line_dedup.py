@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import as_row, saved
+from tarnlake.llm.common import by_place, saved
 
 #: Words that a repeated run of lines must have to count.
 MIN_WORDS = 20
@@ -104,7 +104,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document and keep the same lines; rows without doc_id come first. An empty table gives no rows.
     """
     given = [c for c in docs.columns if c not in ("_n_lines", "_n_deleted")]
-    docs = as_row(docs.select(*[f"`{c}`" for c in given]), "doc_id", "text")
+    docs = by_place(docs.select(*[f"`{c}`" for c in given]), "doc_id", "text")
     later = repeated_runs(docs.select("doc_id", "text"), min_words)
     gone = later.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "length")).alias("_gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -120,10 +120,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = F.array_join(F.transform(rest, lambda i: _at("_lines", i)), "\n")
     n_lines, n_deleted = F.size("_worded").cast("long"), F.coalesce(F.size("_out"), F.lit(0)).cast("long")
     hit = F.col("_gone").isNotNull()
-    columns = [F.when(hit, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in given]
+    columns = [F.when(hit, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return marked.select(
         *columns, n_lines.alias("_n_lines"), F.when(hit, n_deleted).otherwise(F.lit(0).cast("long")).alias("_n_deleted")
-    )
+    ).toDF(*given, "_n_lines", "_n_deleted")
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -132,15 +132,9 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Null texts and texts without lines stay; rows alike in doc_id and text keep the same lines; other
     columns may have any names. An empty table gives no rows.
     """
-    inner = as_row(docs, "doc_id", "text")
+    inner = by_place(docs, "doc_id", "text", "n_chars")
     df = dedup_lines(inner, min_words).where("_n_deleted = 0 or _n_deleted < _n_lines")
-    n_chars = F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
-
-    def column(c: str) -> Column:
-        if c == "text":
-            return F.col("text")
-        if c == "n_chars":
-            return n_chars.cast(docs.schema[c].dataType).alias(c)
-        return F.col(f"row.`{c}`").alias(c)
-
-    return df.select(*[column(c) for c in docs.columns])
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        df = df.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return df.select(*inner.columns).toDF(*docs.columns)

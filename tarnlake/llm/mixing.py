@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.llm.common import as_row, n_words, running_sums, small
+from tarnlake.llm.common import by_place, n_words, running_sums, small
 from tarnlake.session import reliable_checkpoint
 
 WEIGHTS = (5, 2, 1)
@@ -89,10 +89,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most:
         reached.cast("long").alias("_reached"),
     )
     src = F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1"))
-    found = as_row(docs, "doc_id", "source", "text").withColumn("_zz", n_words(F.col("text"))).join(
+    inner = by_place(docs, "doc_id", "source", "text")
+    found = inner.withColumn("_zz", n_words(F.col("text"))).join(
         takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (src == F.col("_s")) & (F.col("_zz") == F.col("_z"))
     )
     number = F.row_number().over(Window.partitionBy("_id", "_s", "_z").orderBy("text"))
     times = F.col("_epochs") + F.when(number <= F.col("_reached"), 1).otherwise(0)
     found = found.withColumn("_times", times.cast("int")).where("_times > 0")
-    return found.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    return found.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*inner.columns).toDF(*docs.columns)

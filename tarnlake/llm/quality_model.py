@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarnlake.llm.common import as_row
+from tarnlake.llm.common import by_place
 from tarnlake.llm.hashing import LOWER, combine, mix, slices, span_hashes, text_bytes, word_places
 
 #: Weights are hashed into so many places.
@@ -176,4 +176,4 @@ def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     Null and empty texts are judged by the bias, repeated rows alike; an empty table gives no rows.
     """
     weights = fit(docs.select("doc_id", "text"), labels)
-    return score(as_row(docs, "text"), weights).where(F.col("_score") >= cut).select("row.*")
+    return score(by_place(docs, "text"), weights).where(F.col("_score") >= cut).drop("_score").toDF(*docs.columns)
