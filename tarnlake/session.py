@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows hold whole texts: a batch of many would be large on both sides of the pipe.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
