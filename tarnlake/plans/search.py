@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import chunk_text
 from tarnlake.operators import search, vectors
+from tarnlake.operators.cells import CellIndex
 from tarnlake.plans.registry import query, table
 from tarnlake.session import shared_path
 from tarnlake.sources.tables import Lakehouse, fingerprint
@@ -76,6 +77,51 @@ def vector_knn_lsh(spark, sf_dir):
     )
 
 
+def _cells(spark, sf_dir):
+    """The stored cell index of the embeddings, built once for the files as they are."""
+    files = f"{sf_dir.rstrip('/')}/embeddings.parquet"
+    index = CellIndex(Lakehouse(spark, shared_path(spark, f"cells-{fingerprint(spark, files)}")), "embeddings")
+    if not index.exists():
+        index.build(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=20)
+    return index
+
+
+@query("vector_knn_cells")
+def vector_knn_cells(spark, sf_dir):
+    """The 20 nearest rows of every row from the cells near it; tests measure its recall."""
+    return _cells(spark, sf_dir).search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=20)
+
+
+@query(
+    "vector_cells_report",
+    f"""
+    WITH pairs AS (
+      SELECT a.vec_id AS query_id, {_COSINE.format(a="a.embedding", b="b.embedding")} AS score, b.vec_id AS item_id
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    best AS (
+      SELECT query_id FROM pairs
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, item_id) <= 20)
+    SELECT (SELECT count(*) FROM embeddings) AS indexed, (SELECT count(*) FROM best) AS true_pairs,
+           (SELECT count(*) FROM pairs) AS all_pairs, TRUE AS recall_reached, TRUE AS fewer_compared
+    """,
+)
+def vector_cells_report(spark, sf_dir):
+    """Recall and compared pairs of the cell index against exact search over all rows."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    index = _cells(spark, sf_dir)
+    found = index.search(embeddings, "vec_id", "embedding", k=20).select("query_id", "item_id", F.lit(1).alias("_hit"))
+    true = vectors.nearest_neighbours(embeddings, embeddings, "vec_id", "embedding", k=20)
+    hits = true.join(found, ["query_id", "item_id"], "left").agg(F.count("*").alias("true_pairs"), F.count("_hit").alias("_hits"))
+    rows = embeddings.agg(F.count("*").alias("indexed"))
+    compared = index.compared(embeddings, "vec_id", "embedding")
+    all_pairs = F.col("indexed") * (F.col("indexed") - 1)
+    return rows.join(hits).select(
+        "indexed", "true_pairs", all_pairs.alias("all_pairs"),
+        (F.col("_hits") >= 0.9 * F.col("true_pairs")).alias("recall_reached"),
+        (F.lit(compared) < all_pairs).alias("fewer_compared"),
+    )
+
+
 @query(
     "chunk_documents",
     """
