@@ -1,8 +1,8 @@
 """Order-dependent operators that stay parallel when one group is very large.
 
 ``rank``, ``lead``/``lag`` and exact quantiles over a plain window put each group
-in one task. Here a group is cut into value buckets first; only per-bucket totals
-are ordered across buckets, so the sort work of a hot group is spread out.
+in one task. Here a group is cut into ranges of the value first; only totals per range
+are ordered across ranges, so the sort work of a hot group is spread out.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.session import reliable_checkpoint
 
 DEFAULT_BUCKETS = 64
-# Distinct values, and rows of one key, that one task orders comfortably.
-SMALL = 1_000_000
+# Rows that a quantile orders in the end, and rows of one key that one task orders comfortably.
+LAST_ROWS = 100_000
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 
@@ -42,70 +43,56 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).filter(F.col(rank) <= k)
 
 
-def _bounds(df: DataFrame, value: str, buckets: int) -> list:
-    """Distinct approximate quantiles of a numeric column: at most ``buckets`` numbers."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(value), cuts, 1000).alias("b")).first()["b"]
-    return sorted(set(found or []))
+def sliced(df: DataFrame, order: Sequence[str | Column], out: str = "_slice") -> DataFrame:
+    """``df`` cut into ranges of ``order``, a task each, with the number of the range in ``out``.
 
-
-def _place(value: str, bounds: Sequence, first: int = 0) -> str:
-    """SQL for the place of a value among the bounds, as a balanced tree of comparisons.
-
-    Bound ``i`` itself is place ``2 * i + 1``; the gap below it is ``2 * i``.
+    Any type that orders will do. The rows are checkpointed, for the borders are sampled and must not
+    move between two readings. Rows equal in ``order`` stay in one range, so end it with something that
+    tells them apart or count equal rows first.
     """
-    if not bounds:
-        return str(2 * first)
-    middle = len(bounds) // 2
-    at = f"{bounds[middle]!r}D" if isinstance(bounds[middle], float) else str(bounds[middle])
-    return (
-        f"CASE WHEN `{value}` = {at} THEN {2 * (first + middle) + 1} "
-        f"WHEN `{value}` < {at} THEN {_place(value, bounds[:middle], first)} "
-        f"ELSE {_place(value, bounds[middle + 1 :], first + middle + 1)} END"
-    )
+    return reliable_checkpoint(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()))
 
 
 def counts_before(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    descending: bool = False,
-    buckets: int = DEFAULT_BUCKETS,
-    small: int = SMALL,
+    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False
 ) -> DataFrame:
     """Distinct ``(keys, value)`` with ``n`` rows and ``n_before`` rows ordered ahead of them.
 
     Equal values are counted before anything is ordered, so ties never pile up in a task.
-    With few distinct values (checked) a running total per key finishes the job. Beyond
-    that the values are cut at approximate quantiles, and running totals are taken inside
-    and across the buckets. The counts are exact: the quantiles only decide where the cuts
-    fall. Null values are left out. The input is read several times, so pass a table or a
-    checkpointed frame.
+    The values are range-sorted over all keys: each task sums its own range, and one row per
+    key and range carries the total of the ranges before it. Any type that orders works, at
+    every size; NaN is the greatest number. Null values are left out.
     """
     keys = list(keys)
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-
-    def sort(c: str) -> Column:
-        return F.desc(c) if descending else F.asc(c)
-
-    # Without keys the ordered rows share one constant group: few values, or few buckets.
+    order = F.desc(value) if descending else F.asc(value)
+    values = sliced(values, [*keys, order])
+    running = F.sum("n").over(W.partitionBy(*keys, "_slice").orderBy(order)) - F.col("n")
+    totals = values.groupBy(*keys, "_slice").agg(F.sum("n").alias("_total"))
+    # Without keys one constant group holds a row per range.
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    distinct = df.agg(F.approx_count_distinct(value)).first()[0]
-    if distinct <= small:
-        ahead = F.sum("n").over(whole.orderBy(sort(value))) - F.col("n")
-        return values.withColumn("n_before", ahead)
-
-    values = values.withColumn("_bucket", F.expr(_place(value, _bounds(df, value, buckets))))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(sort(value))
-    offsets = values.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_total"))
-    ahead = F.sum("_total").over(whole.orderBy(sort("_bucket"))) - F.col("_total")
-    offsets = offsets.select(*keys, "_bucket", ahead.alias("_offset"))
-    running = values.withColumn("_inside", F.sum("n").over(inside) - F.col("n"))
-    return null_safe_join(running, offsets, [*keys, "_bucket"], "inner").select(
+    ahead = F.sum("_total").over(whole.orderBy("_slice")) - F.col("_total")
+    offsets = totals.select(*keys, "_slice", ahead.alias("_offset"))
+    running = values.withColumn("_inside", running)
+    return null_safe_join(running, offsets, [*keys, "_slice"], "inner").select(
         *keys, value, "n", (F.col("_inside") + F.col("_offset")).alias("n_before")
     )
 
 
+def row_numbers(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in a total order over everything.
+
+    ``order`` must tell all rows apart, or rows equal in it come in any order.
+    """
+    rows = sliced(df, order)
+    inside = F.row_number().over(W.partitionBy("_slice").orderBy(*order)) - 1
+    totals = rows.groupBy("_slice").agg(F.count("*").alias("_total"))
+    before = F.sum("_total").over(W.orderBy("_slice")) - F.col("_total")
+    offsets = totals.select("_slice", before.alias("_offset"))
+    numbered = rows.withColumn("_inside", inside).join(offsets, "_slice")
+    return numbered.withColumn(out, F.col("_inside") + F.col("_offset")).select(*df.columns, out)
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -133,8 +120,6 @@ def rank_split(
     out: str,
     descending: bool = True,
     hot_rows: int = HOT_ROWS,
-    buckets: int = DEFAULT_BUCKETS,
-    small: int = SMALL,
 ) -> DataFrame:
     """``RANK()`` per key, or over everything with no keys; null values have no rank.
 
@@ -148,47 +133,77 @@ def rank_split(
         rank = F.rank().over(W.partitionBy(*keys).orderBy(order)).cast("bigint")
         parts.append(cold.withColumn(out, F.when(F.col(value).isNotNull(), rank)))
     if hot is not None:
-        places = counts_before(hot, keys, value, descending, buckets, small)
+        places = counts_before(hot, keys, value, descending)
         places = places.select(*keys, value, (F.col("n_before") + 1).alias(out))
         parts.append(null_safe_join(hot, places, [*keys, value], "left"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _cuts(part: DataFrame, value: str, n: int) -> list:
+    """At most ``n`` distinct values of a sample of rows, in order. Each task hands on at most that many."""
+    picked = part.withColumn("_at", F.rand(7)).orderBy("_at").limit(4 * n).select(value).distinct()
+    found = [r[0] for r in picked.orderBy(value).collect()]
+    return found[:: max(1, -(-len(found) // n))]
+
+
+def _place(value: Column, cuts: Sequence, first: int = 0) -> Column:
+    """The place of a value among the cuts, as a balanced tree of comparisons with typed constants.
+
+    Cut ``i`` itself is place ``2 * i + 1``; the gap below it is ``2 * i``.
+    """
+    if not cuts:
+        return F.lit(2 * first)
+    middle = len(cuts) // 2
+    at = F.lit(cuts[middle])
+    return (
+        F.when(value == at, 2 * (first + middle) + 1)
+        .when(value < at, _place(value, cuts[:middle], first))
+        .otherwise(_place(value, cuts[middle + 1 :], first + middle + 1))
+    )
+
+
 def exact_quantile(
-    df: DataFrame,
-    value: str,
-    q: float,
-    buckets: int = DEFAULT_BUCKETS,
-    small: int = 100_000,
+    df: DataFrame, value: str, q: float, buckets: int = DEFAULT_BUCKETS, small: int = LAST_ROWS
 ):
     """The smallest value whose cumulative share reaches ``q``; None without values.
 
     Each round counts rows per bucket (a partial aggregate, no shuffle of rows) and goes
     on with the one bucket that holds the answer, so the column is read a few times and
-    never sorted. Only the last, small part is ordered.
+    never sorted. Only the last, small part is ordered. Any type that orders will do; NaN is
+    the greatest number.
     """
-    part = df.select(value).filter(F.col(value).isNotNull())
+    kind = df.schema[value].dataType
+    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+    # Times travel to the driver and back as microseconds, which no zone shifts.
+    plain = F.unix_micros(F.col(value).cast("timestamp")) if timed else F.col(value)
+    part = df.select(plain.alias("v")).filter("v IS NOT NULL")
     size = part.count()
     if not size:
         return None
     place = max(math.ceil(size * q), 1)
-    while size > small:
-        bounds = _bounds(part, value, buckets)
-        counted = part.groupBy(F.expr(_place(value, bounds)).alias("p")).count()
+    found = None
+    while found is None and size > small:
+        cuts = _cuts(part, "v", buckets)
+        counted = part.groupBy(_place(F.col("v"), cuts).alias("p")).count()
         # At most two rows per bucket.
         for row in sorted(counted.collect()):
             if place <= row["count"]:
                 break
             place -= row["count"]
-        index, is_bound = divmod(row["p"], 2)
-        if is_bound:
-            return bounds[index]
+        index, is_cut = divmod(row["p"], 2)
+        if is_cut:
+            found = cuts[index]
         if index > 0:
-            part = part.filter(F.col(value) > F.lit(bounds[index - 1]))
-        if index < len(bounds):
-            part = part.filter(F.col(value) < F.lit(bounds[index]))
+            part = part.filter(F.col("v") > F.lit(cuts[index - 1]))
+        if index < len(cuts):
+            part = part.filter(F.col("v") < F.lit(cuts[index]))
         size = row["count"]
-    return part.orderBy(value).offset(place - 1).limit(1).first()[0]
+    if found is None:
+        found = part.orderBy("v").offset(place - 1).limit(1).first()[0]
+    if timed:
+        back = F.timestamp_micros(F.lit(found)).cast(kind)
+        return df.sparkSession.range(1).select(back).first()[0]
+    return found
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnlake.functions.ordered import HOT_ROWS, first_per_key, null_safe_join, split_hot
+from tarnlake.functions.ordered import HOT_ROWS, first_per_key, null_safe_join, sliced, split_hot
 
 FROM, TO, CURRENT = "effective_from", "effective_to", "is_current"
 
@@ -43,14 +43,13 @@ def scd2_history(
     pk: Sequence[str],
     ts: str,
     tracked: Sequence[str],
-    bucket_unit: str = "month",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Version rows of a change log: pk, tracked columns, effective_from/to, is_current.
 
     A change that leaves the tracked columns as they were makes no version. The version
     ends where the next one starts. Keys are primary keys, so never null. Keys with very
-    many changes (``hot_rows``) are ordered in time buckets, so many tasks share them.
+    many changes (``hot_rows``) are cut into ranges of ``ts`` (any type that orders), so many tasks share them.
     """
     pk = list(pk)
 
@@ -62,7 +61,7 @@ def scd2_history(
     cold, hot = split_hot(changes, pk, hot_rows)
     versions = _versions(moments(cold), pk)
     if hot is not None:
-        versions = versions.unionByName(_versions_in_buckets(moments(hot), pk, bucket_unit))
+        versions = versions.unionByName(_versions_in_slices(moments(hot), pk))
     return versions.select(
         *pk,
         *[F.col("_state")[c].alias(c) for c in tracked],
@@ -82,15 +81,15 @@ def _versions(log: DataFrame, pk: list[str]) -> DataFrame:
     return starts.select(*pk, "_at", "_state", F.lead("_at").over(w).alias("_ends"))
 
 
-def _versions_in_buckets(log: DataFrame, pk: list[str], unit: str) -> DataFrame:
-    """The same for hot keys: rows are ordered inside ``(pk, bucket)`` only."""
-    cell = [*pk, "_bucket"]
-    log = log.withColumn("_bucket", F.date_trunc(unit, "_at"))
+def _versions_in_slices(log: DataFrame, pk: list[str]) -> DataFrame:
+    """The same for hot keys: rows are ordered inside ``(pk, slice)`` only."""
+    cell = [*pk, "_slice"]
+    log = sliced(log, [*pk, "_at"])
     inside = W.partitionBy(*cell).orderBy("_at")
     log = log.withColumn("_before", F.lag("_state").over(inside))
     differs = F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col("_state"))
 
-    # One row per (key, bucket) links the buckets: the state each one starts from, and
+    # One row per (key, slice) links the slices: the state each one starts from, and
     # when the next version after it begins.
     edges = log.groupBy(*cell).agg(
         F.min("_at").alias("_first_at"),
@@ -98,18 +97,18 @@ def _versions_in_buckets(log: DataFrame, pk: list[str], unit: str) -> DataFrame:
         F.max_by("_state", "_at").alias("_last_state"),
         F.min(F.when(differs, F.col("_at"))).alias("_first_inner"),
     )
-    along = W.partitionBy(*pk).orderBy("_bucket")
+    along = W.partitionBy(*pk).orderBy("_slice")
     edges = edges.withColumn("_carried", F.lag("_last_state").over(along))
     opens = F.col("_carried").isNull() | ~F.col("_carried").eqNullSafe(F.col("_first_state"))
     edges = edges.withColumn(
         "_starts", F.when(opens, F.col("_first_at")).otherwise(F.col("_first_inner"))
     )
     later = along.rowsBetween(1, W.unboundedFollowing)
-    edges = edges.select(*cell, "_carried", F.min("_starts").over(later).alias("_next_bucket"))
+    edges = edges.select(*cell, "_carried", F.min("_starts").over(later).alias("_next_slice"))
 
     before = F.coalesce("_before", "_carried")
     starts = log.join(edges, cell).filter(before.isNull() | ~before.eqNullSafe(F.col("_state")))
-    ends = F.coalesce(F.lead("_at").over(inside), F.col("_next_bucket"))
+    ends = F.coalesce(F.lead("_at").over(inside), F.col("_next_slice"))
     return starts.select(*pk, "_at", "_state", ends.alias("_ends"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.ordered import counts_before, null_safe_join, top_per_key
+from tarnlake.functions.ordered import row_numbers, top_per_key
 
 MAX_ATTEMPTS = 2
 LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}
@@ -77,25 +77,21 @@ def last_seven(runs: DataFrame) -> DataFrame:
 
 
 def day_slots(runs: DataFrame, day: str, slots: int = 7) -> DataFrame:
-    """A day's runs cut into equal slots by start: ``slot, runs, status``.
+    """A day's runs cut into equal slots by start, then run_id: ``slot, runs, status``.
 
     A slot's status is running, else fail, else ok; slots without runs are empty.
     """
     start = F.lit(day).cast("date")
-    today = runs.filter(F.to_date("started_at") == start).withColumn(
-        "_at", F.unix_micros(F.col("started_at").cast("timestamp"))
-    )
-    per_time = counts_before(today, [], "_at")
-    total = per_time.agg(F.sum("n")).scalar()
+    today = runs.filter(F.to_date("started_at") == start).select("started_at", "run_id", "status")
+    numbered = row_numbers(today, ["started_at", "run_id"], "_place")
+    total = numbered.agg(F.count("*")).scalar()
     size = F.greatest(F.floor(total / slots), F.lit(1))
-    placed = per_time.select(
-        "_at", F.least(F.floor(F.col("n_before") / size), F.lit(slots - 1)).alias("slot")
-    )
+    slot = F.least(F.floor(F.col("_place") / size), F.lit(slots - 1))
     severity = (
         F.when(F.col("status") == "running", 2).when(F.col("status") == "failed", 1).otherwise(0)
     )
     filled = (
-        null_safe_join(today, placed, ["_at"], "inner")
+        numbered.withColumn("slot", slot)
         .groupBy("slot")
         .agg(F.count("*").alias("runs"), F.max(severity).alias("worst"))
     )

@@ -113,7 +113,7 @@ def runs_last7(spark, sf_dir):
     "runs_slots",
     f"""
     WITH {RUNS_SQL},
-    today AS (SELECT *, rank() OVER (ORDER BY started_at) - 1 AS i, count(*) OVER () AS n
+    today AS (SELECT *, row_number() OVER (ORDER BY started_at, run_id) - 1 AS i, count(*) OVER () AS n
               FROM runs WHERE CAST(started_at AS DATE) = DATE '2024-01-15'),
     placed AS (SELECT CAST(least(i // greatest(n // 7, 1), 6) AS BIGINT) AS slot, status FROM today)
     SELECT s.slot, count(status) AS runs,

@@ -1,5 +1,10 @@
+import datetime as dt
+import math
 import random
+from decimal import Decimal
 
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnlake.functions.ordered import (
@@ -8,6 +13,7 @@ from tarnlake.functions.ordered import (
     first_per_key,
     null_safe_join,
     rank_split,
+    row_numbers,
     top_per_key,
 )
 
@@ -36,18 +42,15 @@ def test_rank_split_matches_brute_force(spark, partitions):
     data, df = make(spark, 900)
     for descending in (True, False):
         want = brute_rank(data, descending)
-        for width in partitions():
-            n = 0 if width == "8" else 10**6
+        for _ in partitions():
             # 100 rows make a key hot, so both ways of ranking run side by side.
-            got = rank_split(
-                df.repartition(5), ["k"], "v", "r", descending, hot_rows=100, buckets=7, small=n
-            )
+            got = rank_split(df.repartition(5), ["k"], "v", "r", descending, hot_rows=100)
             assert {r["id"]: r["r"] for r in got.collect()} == want
 
 
 def test_global_rank_equals_window_rank(spark):
     data, df = make(spark)
-    got = {r["id"]: r["r"] for r in rank_split(df, [], "v", "r", small=0).collect()}
+    got = {r["id"]: r["r"] for r in rank_split(df, [], "v", "r").collect()}
     want = {i: 1 + sum(1 for _, _, w in data if w > v) for i, _, v in data}
     assert got == want
 
@@ -86,6 +89,44 @@ def test_exact_quantile_of_whole_numbers_and_ends(spark):
     assert exact_quantile(df.limit(0), "v", 0.5) is None
 
 
+NAN = float("nan")
+TYPED = {
+    "string": [f"w{n * n % 37}" for n in range(300)] + ["", "ü", "a'b\\"],
+    "date": [dt.date(1950, 1, 1) + dt.timedelta(days=n * 211 % 97) for n in range(300)],
+    "timestamp": [dt.datetime(1960, 3, 1) + dt.timedelta(microseconds=n * 7919 % 101) for n in range(300)],
+    "timestamp_ntz": [dt.datetime(2040, 3, 1) + dt.timedelta(microseconds=n * 7919 % 101) for n in range(300)],
+    "double": [float(n % 41) for n in range(300)] + [NAN] * 9 + [float("inf"), -float("inf"), 0.0, -0.0],
+    "float": [n % 43 / 10 for n in range(300)] + [NAN],
+    "decimal(20,4)": [Decimal(n * 37 % 89) / 8 for n in range(300)],
+    "boolean": [n % 3 == 0 for n in range(300)],
+    "binary": [bytes([n % 7, n % 251]) for n in range(300)],
+}
+
+
+def exact(v):
+    return str(v) if isinstance(v, float) and v != v else v
+
+
+@pytest.mark.parametrize("kind", TYPED)
+def test_any_type_that_orders(spark, kind):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*TYPED[kind], None])], f"i int, v {kind}").repartition(5).persist()
+    ordered = [exact(r[0]) for r in df.where("v IS NOT NULL").orderBy("v").select("v").collect()]
+    for q, small in ((0.3, 5), (0.99, 5), (0.5, 10**6)):
+        want = ordered[max(math.ceil(len(ordered) * q), 1) - 1]
+        assert exact(exact_quantile(df, "v", q, buckets=8, small=small)) == want
+    window = W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("v"))
+    want = df.withColumn("r", F.when(F.col("v").isNotNull(), F.rank().over(window))).select("i", "r")
+    assert rows(rank_split(df, [], "v", "r").select("i", "r")) == rows(want)
+    by = df.withColumn("k", F.lit("x"))
+    assert rows(rank_split(by, ["k"], "v", "r", hot_rows=0).select("i", "r")) == rows(want)
+
+
+def test_row_numbers(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), F.lit("x").alias("a")).repartition(7)
+    assert rows(row_numbers(df, [F.desc("id")], "place")) == rows(df.select("id", "a", (999 - F.col("id")).alias("place")))
+    assert row_numbers(df.limit(0), ["id"], "place").count() == 0
+
+
 def test_first_and_top_per_key(spark, partitions):
     data, df = make(spark, 600)
     want = {}
