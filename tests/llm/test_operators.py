@@ -381,21 +381,25 @@ def test_lm_base_and_proper_probabilities(docs, rows, monkeypatch, common):
 def test_lm_learns_from_every_id_of_a_training_text(docs, rows, monkeypatch):
     from tarnlake.llm.subwords import Encoder
 
-    seen = {}
+    seen = []
 
     def train(texts, vocabulary, flat):
-        for r in lm.text_windows(texts).collect():
-            seen.setdefault(r["key"], {}).setdefault(r["number"], []).append(np.frombuffer(r["ids"], "<u2").tolist())
+        seen.extend(np.frombuffer(r["ids"], "<u2") for r in texts.collect())
         return flat
 
     monkeypatch.setattr(lm, "train", train)
     lm.score(docs, TOKENIZER)
     encode, got, want = Encoder(TOKENIZER), [], Counter()
-    for windows in seen.values():
-        for copy in zip(*(windows[k] for k in range(len(windows))), strict=True):  # repeated rows give their windows again
-            assert all(len(w) == lm.WINDOW + 1 for w in copy[:-1]) and 2 <= len(copy[-1]) <= lm.WINDOW + 1
-            assert all(a[-1] == b[0] for a, b in zip(copy, copy[1:]))
-            got.append(tuple([copy[0][0], *(i for w in copy for i in w[1:])]))
+    windows = np.concatenate(list(lm.text_windows(np.concatenate(seen), np.array([len(t) for t in seen]), 7)))
+    for w in windows.tolist():
+        w = [i for i in w if i >= 0]
+        assert 2 <= len(w) <= lm.WINDOW + 1
+        if w[0] == lm.START:
+            got.append(w)
+        else:
+            assert got[-1][-1] == w[0] and (len(got[-1]) - 1) % lm.WINDOW == 0
+            got[-1] += w[1:]
+    got = [tuple(w) for w in got]
     for r in rows:
         if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
             want[tuple([lm.START, *encode.split_ids([split(lower(r["text"]))])[0].tolist(), lm.END])] += 1
@@ -428,6 +432,59 @@ def test_lm_model_is_not_cut():
     assert len(sizes) == 48 and (sizes[:24] == 1).all() and (sizes[24:] > 1).all()
 
 
+def test_lm_gradient_is_the_slope_of_the_loss():
+    dice = np.random.default_rng(8)
+    counts = dice.integers(1, 50, lm.VOCABULARY).astype(float)
+    words = lm.Vocabulary(counts)
+    ids = dice.integers(0, lm.VOCABULARY, (5, lm.WINDOW + 1))
+    ids[1, 9:] = ids[3, 2:] = -1
+    flat = lm.initial(counts, words).astype(np.float64)
+    flat += dice.normal(0, 0.3, lm.LENGTH)
+
+    def loss(at):
+        m = lm.unpack(at)
+        hidden, _ = lm.attend(m, words.symbol[np.maximum(ids[:, :-1], 0)])
+        logits = hidden @ m["output"] + m["bias"]
+        log_p = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        picked = np.take_along_axis(log_p, words.klass[np.maximum(ids[:, 1:], 0)][..., None], 2)[..., 0]
+        return -picked[ids[:, 1:] >= 0].mean()
+
+    g = lm.gradient(flat, ids, words)
+    for name, slope in lm.unpack(g).items():
+        for _ in range(3):
+            way = np.zeros(lm.LENGTH)
+            part = lm.unpack(way)[name]
+            part[:] = dice.normal(size=part.shape)
+            want = (loss(flat + 1e-5 * way) - loss(flat - 1e-5 * way)) / 2e-5
+            assert (g * way).sum() == pytest.approx(want, rel=1e-3, abs=1e-6), name
+
+
+def test_lm_replicas_learn_where_texts_stand_and_are_averaged(spark):
+    dice = np.random.default_rng(9)
+    texts = [dice.integers(0, 900, n).astype("<u2") for n in (0, 5, 70, 33, 400)]
+    counts = np.bincount(np.concatenate(texts), minlength=lm.VOCABULARY).astype(float)
+    words = lm.Vocabulary(counts)
+    want = lm.initial(counts, words)
+    tasks = [texts[:2], texts[2:]]
+    df = spark.sparkContext.parallelize([[(0, bytearray(t.tobytes())) for t in own] for own in tasks], 2).flatMap(lambda rows: rows)
+    df = spark.createDataFrame(df, "key long, ids binary")
+    got = lm.train(df, words, want)
+    for turn in range(lm.ROUNDS):
+        sums, n = 0, 0
+        for own in tasks:
+            windows = np.concatenate(list(lm.text_windows(np.concatenate(own), np.array([len(t) for t in own]))))
+            sums = sums + len(windows) * lm.learn(want, windows[np.random.default_rng(turn).permutation(len(windows))], words).astype(float)
+            n += len(windows)
+        want = (sums / n).astype(np.float32)
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_lm_learns_nothing_from_an_empty_table(spark):
+    counts = np.zeros(lm.VOCABULARY)
+    start = lm.initial(counts, lm.Vocabulary(counts))
+    assert np.array_equal(lm.train(spark.createDataFrame([], "key long, ids binary"), lm.Vocabulary(counts), start), start)
+
+
 def test_lm_learns():
     dice = np.random.default_rng(4)
     step = dice.permutation(500)
