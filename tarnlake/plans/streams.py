@@ -13,8 +13,6 @@ from tarnlake.session import scratch_path
 from tarnlake.sources.tables import Lakehouse
 from tarnlake.streaming import events as st
 
-# Days of the deliveries that the SQL of stream_late names; its last border is the first day left out.
-LATE_BORDERS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-02-01"]
 DELIVERIES = 3
 # A delivery is one batch and later ones hold later days, so no event is behind the watermark.
 LATENESS = "10 days"
@@ -124,31 +122,69 @@ def stream_filter_window(spark, sf_dir):
     return _zoneless(_with_untimed(spark, rows, base, ["user_id"]), "window_start")
 
 
+# Deliveries in equal parts of the days that the events span, each after the first with the day before it.
+DELIVERIES_SQL = f"""
+    span AS (SELECT min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 AS days FROM events),
+    starts AS (SELECT DISTINCT f + CAST(days * k // {DELIVERIES} AS INTEGER) AS a
+               FROM span, (SELECT unnest(range(1, {DELIVERIES})) AS k) WHERE days * k // {DELIVERIES} > 0
+               UNION ALL SELECT NULL),
+    d AS (SELECT row_number() OVER (ORDER BY a NULLS FIRST) - 1 AS batch_no, a,
+                 lead(a) OVER (ORDER BY a NULLS FIRST) AS b FROM starts),
+    x AS (SELECT d.batch_no, e.ts, 1 AS here FROM events e JOIN d
+          ON ((d.a IS NULL OR CAST(ts AS DATE) >= d.a - 1) AND (d.b IS NULL OR CAST(ts AS DATE) < d.b))
+             OR (ts IS NULL AND d.a IS NULL)),
+    marks AS (SELECT d.batch_no, max(max(ts)) OVER (ORDER BY d.batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                     - INTERVAL 1 HOUR AS mark FROM d LEFT JOIN x USING (batch_no) GROUP BY 1)
+"""
+
+
 @query(
     "stream_late",
-    """
-    WITH d(batch_no, a, b) AS (VALUES (0, DATE '2024-01-01', DATE '2024-01-09'),
-      (1, DATE '2024-01-08', DATE '2024-01-17'), (2, DATE '2024-01-16', DATE '2024-02-01'))
-    SELECT batch_no, count(*) AS row_count,
-           count(*) FILTER (ts < (SELECT max(ts) FROM events e JOIN d p ON p.batch_no = d.batch_no - 1
-                                  WHERE e.ts < p.b) - INTERVAL 1 HOUR) AS late_rows
-    FROM events JOIN d ON CAST(ts AS DATE) >= a AND CAST(ts AS DATE) < b GROUP BY batch_no
+    f"""
+    WITH {DELIVERIES_SQL}
+    SELECT batch_no, count(here) AS row_count, count(*) FILTER (ts < mark) AS late_rows
+    FROM marks LEFT JOIN x USING (batch_no) GROUP BY 1
     """,
 )
 def stream_late(spark, sf_dir):
-    """Late rows of the three deliveries the SQL names; it counts no event of other days."""
+    """Rows and late rows of every delivery; each after the first repeats the day before it."""
 
     def run(stream, base):
         st.count_late(stream, "ts", "1 HOUR", f"{base}/late", f"{base}/checkpoint")
 
-    events, day, parts = table(spark, sf_dir, "events"), F.to_date("ts"), []
-    for start, end in zip(LATE_BORDERS, LATE_BORDERS[1:]):
-        first = F.date_sub(F.lit(start).cast("date"), int(start != LATE_BORDERS[0]))
-        parts.append(events.filter((day >= first) & (day < F.lit(end).cast("date"))))
-    base = _land(spark, events.schema, parts, run)
+    base = in_deliveries(spark, sf_dir, run, overlap=True)
     return spark.read.parquet(f"{base}/late").select("batch_no", "row_count", "late_rows")
 
 
+@query(
+    "stream_late_windows",
+    f"""
+    WITH {DELIVERIES_SQL},
+    told AS (SELECT date_trunc('hour', ts) AS window_start, mark,
+                    coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, FALSE) AS late
+             FROM x JOIN marks USING (batch_no) WHERE ts IS NOT NULL)
+    SELECT CASE WHEN late THEN 'late' ELSE 'closed' END AS side, window_start, count(*) AS n FROM told
+    WHERE late OR window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2
+    """,
+)
+def stream_late_windows(spark, sf_dir):
+    """Hourly counts that the watermark closed, and beside them the rows that came after their hour was closed.
+
+    An hour that the watermark has not passed is still open and not told; events without a time stand in none.
+    """
+
+    def run(stream, base):
+        st.split_late(stream, "ts", "1 HOUR", "1 hour", base, f"{base}/split_checkpoint")
+        counts = st.window_counts(st.event_time(stream, "ts", "1 HOUR"), "ts", "1 hour", [])
+        st.append_closed(counts, f"{base}/closed", f"{base}/checkpoint")
+
+    base = in_deliveries(spark, sf_dir, run, overlap=True)
+    closed = spark.read.parquet(f"{base}/closed").select(F.lit("closed").alias("side"), "window_start", "n")
+    hour = F.date_trunc("hour", "ts").cast("timestamp").alias("window_start")
+    late = spark.read.parquet(f"{base}/late").groupBy(hour).agg(F.count("*").alias("n"))
+    return _zoneless(closed.unionByName(late.withColumn("side", F.lit("late"))), "window_start")
+
+
 @query(
     "stream_last_seen",
     """

@@ -207,6 +207,40 @@ def count_late(
     each_batch(stream, count, checkpoint)
 
 
+def split_late(
+    stream: DataFrame, ts: str, lateness: str, size: str, path: str, checkpoint: str
+) -> None:
+    """Rows whose window of ``size`` had ended ``lateness`` before the newest earlier time, set apart.
+
+    They are what a windowed aggregate with that watermark drops. Each batch overwrites its own folder of
+    ``path/late`` and ``path/marks``, the newest time it held, so a repeated batch adds nothing twice.
+    """
+    spark = stream.sparkSession
+    kind = stream.schema[ts].dataType
+
+    def split(batch: DataFrame, number: int) -> None:
+        newest = F.lit(None).cast(kind)
+        if path_exists(spark, f"{path}/marks"):
+            earlier = spark.read.parquet(f"{path}/marks").filter(F.col("batch_no") < number)
+            newest = earlier.agg(F.max("newest").cast(kind)).scalar()
+        ends = F.window(ts, size)["end"]
+        late = batch.withColumn("_ends", ends).filter(F.col("_ends") <= newest - F.expr(f"INTERVAL {lateness}"))
+        late.drop("_ends").write.mode("overwrite").parquet(f"{path}/late/batch_no={number}")
+        # The mark comes last: a batch without one is split again.
+        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{path}/marks/batch_no={number}")
+
+    each_batch(stream, split, checkpoint)
+
+
+def append_closed(windows: DataFrame, path: str, checkpoint: str) -> None:
+    """Store the windows of a watermarked aggregate once the watermark has passed their end."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    each_batch(windows, store, checkpoint, mode="append")
+
+
 def payload_drift(batch: DataFrame, payload: str, expected: Sequence[str]) -> DataFrame:
     """Keys of a JSON payload column against the expected ones: ``kind, key``."""
     spark = batch.sparkSession

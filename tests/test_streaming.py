@@ -123,7 +123,7 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         session.scratch_path(Session(), "x")
 
 
-STREAMS = "bronze rate filter_window late last_seen error_rate dedup scd1 schema_drift".split()
+STREAMS = "bronze rate filter_window late late_windows last_seen error_rate dedup scd1 schema_drift".split()
 
 
 @pytest.fixture(scope="module")
