@@ -65,6 +65,22 @@ def blank_out(text: Column, strategies: Mapping[str, str]) -> Column:
     return F.when(_possible(text, "email") | text.rlike("[0-9]"), clean).otherwise(text)
 
 
+def span_regex(kind: str) -> str:
+    """A kind's core with its neighbours only looked at, so matches side by side are all found (Java)."""
+    before, core, after = PATTERNS[kind]
+    ahead = f"(?={after[3:-1]})" if after else ""
+    return (f"(?<={before[3:-1]})" if before else "") + core + ahead
+
+
+def text_token(value: Column, kind: str, strategy: str, secret: str) -> Column:
+    """``[kind:letters]``: the same for the same value and secret, and without a digit that another kind could match."""
+    digest = F.sha2(F.concat(F.lit(f"{secret}{kind}:"), value), 256)
+    letters = F.translate(digest, "0123456789", "ghijklmnop")
+    if strategy == "pseudonymize":
+        letters = F.substring(letters, 1, 16)
+    return F.concat(F.lit(f"[{kind}:"), letters, F.lit("]"))
+
+
 def protect_field(value: Column, strategy: str, secret: str = "") -> Column:
     """A whole field under a strategy; nulls stay null.
 

@@ -61,6 +61,32 @@ def pii_mask(spark, sf_dir):
     )
 
 
+def _token_sql(text: str, kind: str) -> str:
+    core = PATTERNS[kind][1]
+    digest = f"substr(translate(sha256('pepper{kind}:' || z[2]), '0123456789', 'ghijklmnop'), 1, 16)"
+    zipped = f"list_zip(string_split_regex({text}, '{core}'), regexp_extract_all({text}, '{core}'))"
+    return f"array_to_string(list_transform({zipped}, lambda z: z[1] || coalesce('[{kind}:' || {digest} || ']', '')), '')"
+
+
+@query(
+    "pii_tokenize_text",
+    f"""
+    WITH a AS (SELECT doc_id, text, {_token_sql("text", "phone")} AS t FROM documents),
+    b AS (SELECT doc_id, text, {_token_sql("t", "email")} AS t FROM a)
+    SELECT doc_id, md5(t) AS tokenized, t <> text AS changed, md5(text) AS restored FROM b
+    """,
+)
+def pii_tokenize_text(spark, sf_dir):
+    """Phones and mail addresses in texts as keyed tokens, and the texts restored from the token table."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("raw"))
+    made = privacy.tokenize_text(documents, "text", dict.fromkeys(("phone", "email"), "pseudonymize"), "pepper")
+    both = made.withColumn("back", F.col("text"))
+    both = privacy.restore_text(both, "doc_id", "back", privacy.token_table(made))
+    return both.select(
+        "doc_id", F.md5("text").alias("tokenized"), (F.col("text") != F.col("raw")).alias("changed"), F.md5("back").alias("restored")
+    )
+
+
 @query(
     "pii_pseudonymize",
     """

@@ -212,3 +212,26 @@ def test_console_refuses_writes(spark, text):
     with pytest.raises((PermissionError, ParseException)):
         read_only_sql(spark, text)
     assert read_only_sql(spark, "WITH a AS (SELECT 'INSERT INTO' AS x) SELECT * FROM a").first()[0] == "INSERT INTO"
+
+
+def test_keyed_tokens_in_text_and_back(spark):
+    card, ssn, mail = "4111 1111 1111 1111", "123-45-6789", "a.b@x.org"
+    texts = [
+        (1, f"{ssn} {ssn},{ssn} to {mail}"), (2, f"card {card} 123-45-6789"), (3, None), (4, ""), (5, "nothing, [ssn:abc] here"),
+        (6, mail), (7, f"born 1990-01-02, {mail};{mail}"), (8, f"host 10.0.0.1 10.0.0.2"),
+    ]
+    df = spark.createDataFrame(texts, "id int, t string")
+    strategies = {"ssn": "pseudonymize", "email": "hash", "credit_card": "pseudonymize", "date_of_birth": "mask", "ip_address": "redact"}
+    made = privacy.tokenize_text(df, "t", strategies, "k").cache()
+    got = {r["id"]: r["t"] for r in made.collect()}
+    assert got[3] is None and got[4] == "" and got[5] == texts[4][1]
+    assert not any(v in t for t in got.values() if t for v in (card, ssn, mail, "1990-01-02", "10.0.0"))
+    assert got[1].count("[ssn:") == 3 and len(set(got[1].split(" to ")[0].replace(",", " ").split())) == 1
+    assert got[8] == "host [ip_address] [ip_address]" and "****" in got[7]
+    table = privacy.token_table(made).cache()
+    assert {(r["kind"], r["value"], r["n"]) for r in table.collect()} == {("ssn", ssn, 4), ("credit_card", card, 1), ("email", mail, 4)}
+    back = {r["id"]: r["t"] for r in privacy.restore_text(made.drop("spans"), "id", "t", table).collect()}
+    assert {k: back[k] for k in (1, 2, 3, 4, 5, 6)} == dict(texts[:6])
+    assert back[7] == f"born ****, {mail};{mail}"
+    other = privacy.tokenize_text(df, "t", strategies, "other").where("id = 6").first()["t"]
+    assert other != got[6] and privacy.tokenize_text(df, "t", strategies, "k").where("id = 6").first()["t"] == got[6]
