@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tarnlake.functions.text import chunk_text
 from tarnlake.operators import search, vectors
 from tarnlake.operators.cells import CellIndex
+from tarnlake.operators.collections import Collection
 from tarnlake.plans.registry import query, table
-from tarnlake.session import shared_path
+from tarnlake.session import scratch_path, shared_path
 from tarnlake.sources.tables import Lakehouse, fingerprint
 
 QUERY = "The letter is with them, reth and hant"
@@ -37,6 +38,28 @@ def embed_collection(spark, sf_dir):
     )
 
 
+@query(
+    "collection_put",
+    """
+    SELECT vec_id AS id, len(embedding) AS dimensions,
+           round(CAST(embedding[1] AS DOUBLE) * CASE WHEN label = 3 THEN 2 ELSE 1 END, 4) AS first_component,
+           (SELECT count(*) FROM embeddings) AS vectors
+    FROM embeddings
+    """,
+)
+def collection_put(spark, sf_dir):
+    """All embeddings stored as a collection, then those of one label doubled and put again by key."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    held = Collection(Lakehouse(spark, scratch_path(spark, "collection")), "embeddings")
+    held.replace(embeddings, "vec_id", "embedding")
+    doubled = embeddings.where("label = 3").withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    status = held.put(doubled, "vec_id", "embedding")
+    return held.read().select(
+        "id", F.size("vector").alias("dimensions"), F.round(F.col("vector")[0].cast("double"), 4).alias("first_component"),
+        F.lit(status["vectors"]).cast("bigint").alias("vectors"),
+    )
+
+
 def _query_vector(spark, sf_dir):
     first = table(spark, sf_dir, "embeddings").agg(F.min_by("embedding", "vec_id"))
     return first.scalar()
