@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.ordered import top_per_key
-from tarnlake.operators.vectors import TINY, _score_blocks, nearest_neighbours
+from tarnlake.operators.vectors import SLICE, TINY, meet, nearest_neighbours, packed
+from tarnlake.session import reliable_checkpoint
 from tarnlake.sources.tables import STATE, Lakehouse
 
 #: Rows that the centres are fitted on at most, and queries that the search depth is measured with at most.
@@ -50,14 +51,66 @@ def _nearest_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame
         for frame in frames:
             if frame.empty:
                 continue
-            near = _unit(np.stack(frame["v"].to_numpy()).astype(np.float64)) @ centres.T
-            order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            order = _order(frame, centres, probes)
             for place in range(order.shape[1]):
                 yield frame.assign(cell=order[:, place], place=place)
 
     return df.mapInPandas(run, "id bigint, v array<float>, cell int, place int")
 
 
+def _order(frame: pd.DataFrame, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest cells of every row, nearest first."""
+    near = _unit(np.stack(frame["v"].to_numpy()).astype(np.float64)) @ centres.T
+    return np.argsort(-near, axis=1, kind="stable")[:, :probes]
+
+
+def _wanted(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """``cell, n``: how many rows have a cell among their ``probes`` nearest ones."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(centres), np.int64)
+        for frame in frames:
+            if not frame.empty:
+                total += np.bincount(_order(frame, centres, probes).ravel(), minlength=len(centres))
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": used, "n": total[used]})
+
+    return df.mapInPandas(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _marked(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """Every row once, with its nearest cell and a bit in ``mark`` for each of its ``probes`` nearest ones."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            order = _order(frame, centres, probes)
+            bits = np.zeros((len(frame), len(centres)), bool)
+            np.put_along_axis(bits, order, True, axis=1)
+            yield frame.assign(cell=order[:, 0], mark=[b.tobytes() for b in np.packbits(bits, axis=1)])
+
+    return df.mapInPandas(run, "id bigint, v array<float>, cell int, mark binary")
+
+
+def _marked_cells(marks: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(marks, axis=0)))
+
+
+def _own_cells(marks: np.ndarray) -> np.ndarray:
+    return np.unique(marks.view(">i4"))
+
+
+def _runs(queries, items):
+    """The items of a block, cell by cell, with the queries that open the cell."""
+    cells = items.marks.view(">i4").ravel()
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    for start, end in zip(starts, [*starts[1:], len(cells)]):
+        rows = np.flatnonzero(queries.marks[:, cells[start] >> 3] & (128 >> (cells[start] & 7)))
+        for at in range(start, end, SLICE):
+            yield slice(at, min(at + SLICE, end)), rows
+
+
 class CellIndex:
     """Vectors of a lakehouse table, dealt to cells around centres and stored by cell.
 
@@ -124,43 +177,44 @@ class CellIndex:
             parts = [p.path for p in entry.parts if p.bucket in used] or parts
         return self.spark.read.schema("id bigint, v array<float>, cell int").parquet(*[f"{self.lake.root}/{p}" for p in parts])
 
+    def _plain(self, queries: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
+        plain = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        return plain.where(F.size("v") == size)
+
     def probed(self, queries: DataFrame, id_col: str, vector: str) -> DataFrame:
         """``id, v, cell, place``: the cells that a search opens for each query."""
         centres, probes, _ = self.centres()
-        plain = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-        return _nearest_cells(plain.where(F.size("v") == centres.shape[1]), centres, probes)
+        return _nearest_cells(self._plain(queries, id_col, vector, centres.shape[1]), centres, probes)
 
     def compared(self, queries: DataFrame, id_col: str, vector: str) -> int:
         """Pairs that ``search`` compares for these queries (those sent on to exact search left out)."""
-        sizes = self._stored().groupBy("cell").agg(F.count("*").alias("n"))
-        return self.probed(queries, id_col, vector).join(sizes, "cell").agg(F.sum("n")).first()[0] or 0
+        centres, probes, _ = self.centres()
+        wanted = _wanted(self._plain(queries, id_col, vector, centres.shape[1]), centres, probes)
+        sizes = self._stored().groupBy("cell").agg(F.count("*").alias("size"))
+        return wanted.join(sizes, "cell").agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
 
     def search(self, queries: DataFrame, id_col: str, vector: str, k: int = 20, exclude_self: bool = True) -> DataFrame:
-        """``query_id, item_id, score, rank`` by cosine rounded to 4 digits, ties to the lower id."""
+        """``query_id, item_id, score, rank`` by cosine rounded to 4 digits, ties to the lower id.
+
+        Queries and rows lie in blocks of neighbouring cells; a block of queries meets the blocks that hold one of
+        its cells, and there each query the rows of its own cells.
+        """
         centres, probes, n = self.centres()
-        probed = self.probed(queries, id_col, vector)
+        plain = self._plain(queries, id_col, vector, centres.shape[1])
         if probes > EXACT_ABOVE * len(centres):
-            return nearest_neighbours(probed.where("place = 0"), self._stored(), "id", "v", k, self.block_rows, exclude_self)
-        items = self._stored(probed)
-
-        def blocks(df: DataFrame, name: str) -> DataFrame:
-            return df.groupBy("cell").agg(F.ceil(F.count("*") / self.block_rows).cast("bigint").alias(name))
-
-        sizes = blocks(probed, "n_q").join(blocks(items, "n_i"), "cell")
-
-        def blocked(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-            return df.join(sizes, "cell").select(
-                "id", "v", "cell", F.pmod(F.xxhash64("id"), F.col(n_own)).alias(own),
-                F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_other) - 1)).alias(other),
-            )
-
-        pairs = _score_blocks(
-            blocked(probed, "qb", "n_q", "ib", "n_i"), blocked(items, "ib", "n_i", "qb", "n_q"), ["cell", "qb", "ib"], k, exclude_self
-        )
-        found = top_per_key(pairs, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+            return nearest_neighbours(plain, self._stored(), "id", "v", k, self.block_rows, exclude_self)
+        stored = self._stored(_wanted(plain, centres, probes))
+        # The cell in four bytes, high ones first.
+        items = stored.withColumn("mark", F.unhex(F.lpad(F.hex("cell"), 8, "0")))
+        pairs = meet(
+            packed(_marked(plain, centres, probes), plain.count(), self.block_rows, ["cell"], _marked_cells),
+            packed(items, stored.count(), self.block_rows, ["cell"], _own_cells),
+            k, exclude_self, _runs,
+        )
+        found = reliable_checkpoint(top_per_key(pairs, ["query_id"], [F.desc("score"), F.asc("item_id")], k))
         enough = min(k, n - 1 if exclude_self else n)
         full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("_n")).where(F.col("_n") >= enough)
-        short = probed.where("place = 0").select("id", "v").join(full, "id", "left_anti")
+        short = plain.join(full, "id", "left_anti")
         if short.isEmpty():
             return found
         exact = nearest_neighbours(short, self._stored(), "id", "v", k, self.block_rows, exclude_self)

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tarnlake.operators import cells
 from tarnlake.operators.cells import CellIndex
 from tarnlake.operators.vectors import nearest_neighbours
 from tarnlake.session import scratch_path
@@ -61,6 +63,22 @@ def test_small_cells_fall_back_to_exact(spark):
     assert got == pairs(nearest_neighbours(items, items, "id", "v", k=30))
 
 
+def test_a_search_copies_no_query_per_cell(spark):
+    items = grouped(spark)
+    index = index_over(spark, items, block_rows=64)
+    _, probes, _ = index.centres()
+    centres = index.centres()[0]
+    marked = cells._marked(index._plain(items, "id", "v", 16), centres, probes)
+    assert marked.count() == 1000
+    wanted = {r["cell"]: r["n"] for r in cells._wanted(index._plain(items, "id", "v", 16), centres, probes).collect()}
+    opened = {r["cell"]: r["n"] for r in index.probed(items, "id", "v").groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    assert wanted == opened
+    # Only pairs of a query and a row of one of its cells.
+    homes = {r["id"]: r["cell"] for r in index._stored().collect()}
+    own = {(r["id"], r["cell"]) for r in index.probed(items, "id", "v").collect()}
+    assert all((q, homes[i]) in own for q, i in pairs(index.search(items, "id", "v", k=5)))
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_tiny_tables(spark, n):
     items = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(n)], SCHEMA)

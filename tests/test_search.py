@@ -184,6 +184,55 @@ def test_bucketed_neighbours(spark):
     assert hits / exact.count() >= 0.9
 
 
+def test_a_search_copies_no_vector_per_block(spark):
+    df = spark.createDataFrame(points(), "id bigint, v array<float>")
+    for found in (
+        vectors.nearest_neighbours(df, df, "id", "v", k=4, block_rows=7),
+        vectors.nearest_neighbours_lsh(df, df, "id", "v", 6, k=4, planes=1, tables=4, block_rows=7),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "explode" not in plan and "Generate" not in plan
+
+
+def test_items_without_a_direction_hide_no_neighbour(spark):
+    data = [(i, [1.0, i / 10, 0.0]) for i in range(6)]
+    odd = [(10, [float("nan"), 1.0, 0.0]), (11, [float("inf"), 1.0, 0.0]), (12, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data + odd, "id bigint, v array<float>")
+    got = vectors.nearest_neighbours(df.where("id < 6"), df, "id", "v", k=6)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["item_id"])
+    plain = [d for d in data] + [(6, [0.0, 0.0, 0.0])]
+    true = brute_knn(plain, 6)
+    assert found == {q: [12 if i == 6 else i for i in true[q]] for q in range(6)}
+
+
+def test_many_copies_go_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(90)], "id bigint, v array<float>")
+    got = vectors.nearest_neighbours(df, df, "id", "v", k=3, block_rows=16)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+    assert found == {q: [(i, 1.0) for i in range(4) if i != q][:3] for q in range(90)}
+
+
+@pytest.mark.parametrize("planes", [2, 6])
+def test_buckets_give_the_same_pairs_in_one_pass_and_apart(spark, planes):
+    data = points(80)
+    df = spark.createDataFrame(data, "id bigint, v array<float>")
+    normals = np.random.default_rng(42).standard_normal((2, planes, 6))
+    points_ = np.array([v for _, v in data], dtype=np.float32).astype(float)
+    codes = np.stack([((points_ @ n.T) > 0) @ (2 ** np.arange(planes)) for n in normals], axis=1)
+    size = np.linalg.norm(points_, axis=1)
+    sims = np.round(points_ @ points_.T / (np.outer(size, size) + 1e-9), 4)
+    want = set()
+    for q in range(80):
+        near = [i for i in range(80) if i != q and (codes[i] == codes[q]).any()]
+        want |= {(q, i) for i in sorted(near, key=lambda i: (-sims[q, i], i))[:3]}
+    got = vectors.nearest_neighbours_lsh(df, df, "id", "v", 6, k=3, planes=planes, tables=2, block_rows=9)
+    assert {(r["query_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_top_similar(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id int, v array<float>")
     query = F.array(F.lit(1.0), F.lit(0.0))
