@@ -24,19 +24,19 @@ def pattern(kind: str) -> str:
     return "".join(PATTERNS[kind])
 
 
-def _possible(text: Column, kind: str) -> Column:
+def possible(text: Column, kind: str) -> Column:
     """A cheap test that every match passes: most texts hold no digit and no at-sign."""
     return text.contains("@") if kind == "email" else text.rlike("[0-9]")
 
 
 def occurrences(text: Column, kind: str) -> Column:
     found = F.regexp_count(text, F.lit(pattern(kind)))
-    return F.when(_possible(text, kind), found).otherwise(0)
+    return F.when(possible(text, kind), found).otherwise(0)
 
 
 def holds(text: Column, kind: str) -> Column:
     """True where the text has a match; false for null."""
-    return F.when(_possible(text, kind), text.rlike(pattern(kind))).otherwise(False)
+    return F.when(possible(text, kind), text.rlike(pattern(kind))).otherwise(False)
 
 
 def kinds_in(text: Column) -> Column:
@@ -62,7 +62,7 @@ def blank_out(text: Column, strategies: Mapping[str, str]) -> Column:
                 clean = F.regexp_replace(clean, regex, f"$1{token}$2")
         else:
             clean = F.regexp_replace(clean, core, token)
-    return F.when(_possible(text, "email") | text.rlike("[0-9]"), clean).otherwise(text)
+    return F.when(possible(text, "email") | text.rlike("[0-9]"), clean).otherwise(text)
 
 
 def span_regex(kind: str) -> str:

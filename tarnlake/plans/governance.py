@@ -8,6 +8,8 @@ from tarnlake.functions.pii import PATTERNS, kinds_in, pattern
 from tarnlake.operators import graph, lineage, privacy
 from tarnlake.plans.declarative import EDGES_SQL, weekly_edges
 from tarnlake.plans.registry import query, table
+from tarnlake.session import scratch_path
+from tarnlake.sources.tables import Lakehouse
 
 KINDS = sorted(PATTERNS)
 
@@ -80,11 +82,12 @@ def pii_tokenize_text(spark, sf_dir):
     """Phones and mail addresses in texts as keyed tokens, and the texts restored from the token table."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("raw"))
     made = privacy.tokenize_text(documents, "text", dict.fromkeys(("phone", "email"), "pseudonymize"), "pepper")
+    made = made.withColumn("changed", F.col("text") != F.col("raw")).drop("raw")
+    # Texts are searched once; the token table and the restored texts read what was found.
+    made = spark.read.parquet(Lakehouse(spark, scratch_path(spark, "tokens")).write(made, "silver_tokenized"))
     both = made.withColumn("back", F.col("text"))
     both = privacy.restore_text(both, "doc_id", "back", privacy.token_table(made))
-    return both.select(
-        "doc_id", F.md5("text").alias("tokenized"), (F.col("text") != F.col("raw")).alias("changed"), F.md5("back").alias("restored")
-    )
+    return both.select("doc_id", F.md5("text").alias("tokenized"), "changed", F.md5("back").alias("restored"))
 
 
 @query(

@@ -235,3 +235,14 @@ def test_keyed_tokens_in_text_and_back(spark):
     assert back[7] == f"born ****, {mail};{mail}"
     other = privacy.tokenize_text(df, "t", strategies, "other").where("id = 6").first()["t"]
     assert other != got[6] and privacy.tokenize_text(df, "t", strategies, "k").where("id = 6").first()["t"] == got[6]
+
+
+def test_only_rows_with_a_token_are_restored_by_a_join(spark):
+    texts = [(1, "call +1 555-123-4567 or a@b.org"), (2, "nothing here"), (3, None), (4, "at 7 @ eight"), (5, "a@b.org")]
+    df = spark.createDataFrame(texts, "id bigint, t string")
+    made = privacy.tokenize_text(df, "t", dict.fromkeys(("phone", "email"), "pseudonymize"), "s")
+    found = {r["id"]: len(r["spans"]) for r in made.collect()}
+    assert found == {1: 2, 2: 0, 3: 0, 4: 0, 5: 1}
+    back = privacy.restore_text(made.select("id", "t"), "id", "t", privacy.token_table(made))
+    assert sorted((r["id"], r["t"]) for r in back.collect()) == texts
+    assert "Union" in back._jdf.queryExecution().optimizedPlan().toString()
