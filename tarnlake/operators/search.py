@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,24 @@ def _score(terms: Sequence[tuple[Column, Column]], length: Column, n: Column, me
     return F.round(_add(parts), 6)
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, row, len, term, tf`` for every distinct word of each row ``id, row, words``."""
+    for batch in batches:
+        for n in range(0, batch.num_rows, 256):
+            part = batch.slice(n, 256)
+            words = part.column("words")
+            pairs = pa.table({"i": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
+            found = pairs.group_by(["i", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            for rows in found.to_batches():
+                at = rows.column("i")
+                columns = [
+                    part.column("id").take(at), part.column("row").take(at),
+                    pc.list_value_length(words).take(at).cast(pa.int32()),
+                    rows.column("term").cast(pa.string()), rows.column("count_all").cast(pa.int32()),
+                ]
+                yield pa.record_batch(columns, ["id", "row", "len", "term", "tf"])
+
+
 class TermIndex:
     """Postings of a text collection, kept in a lakehouse and added to batch by batch.
 
@@ -92,9 +112,10 @@ class TermIndex:
             docs = df.select(
                 F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words.alias("words")
             )
-            counts = docs.select("id", "row", F.size("words").alias("len"), F.explode("words").alias("term"))
-            # Counted where the document lies, then sent to its term's bucket; large buckets span several files.
-            counts = counts.groupBy("id", "row", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+            # Counted inside each row, for that takes no shuffle; then sent to its term's bucket. Large buckets span several files.
+            # Counted inside each row, for that takes no shuffle; then sent to its term's bucket. Large buckets span several files.
+            kind = docs.schema["id"].dataType.simpleString()
+            counts = docs.mapInArrow(_term_counts, f"id {kind}, row bigint, len int, term string, tf int")
             parts = batch.stage_buckets(counts.withColumn("batch", F.lit(batch.number)), self.postings, bucket_of(["term"], n), sort=["term"])
             held = batch.entry(self.postings)
             batch.put(self.postings, [*(held.parts if held else ()), *parts], buckets=n, key=("term",))

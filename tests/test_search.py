@@ -156,6 +156,22 @@ def brute_knn(data, k):
     return out
 
 
+def test_postings_are_counted_without_a_shuffle(spark, monkeypatch):
+    plans, stage = [], Batch.stage_buckets
+
+    def seen(self, df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        counted = sorted((r["id"], r["len"], r["term"], r["tf"]) for r in df.collect())
+        assert counted == [(1, 3, "a", 2), (1, 3, "b", 1), (4, 1, "a", 1), (4, 1, "a", 1)]
+        return stage(self, df, *args, **options)
+
+    monkeypatch.setattr(Batch, "stage_buckets", seen)
+    texts = [(1, "a B a"), (2, ""), (3, None), (4, "a"), (4, "a")]
+    index = search.TermIndex(Lakehouse(spark, scratch_path(spark, "terms")), "t")
+    index.add(spark.createDataFrame(texts, "id bigint, text string"), "id", "text")
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_exact_neighbours_in_any_blocking(spark, block):
     data = points()
