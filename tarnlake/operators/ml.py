@@ -72,20 +72,27 @@ def fit_classification(
     return Pipeline(stages=[indexer, assembler, estimator]).fit(train)
 
 
-def regression_metrics(model: PipelineModel, test: DataFrame, target: str) -> dict[str, float]:
-    scored = model.transform(test)
-    return {
-        m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(scored)
-        for m in ("r2", "mae", "rmse")
-    }
+def _scored(model: PipelineModel, test: DataFrame, label: str) -> DataFrame:
+    """Label and prediction of the test rows, kept, for every metric passes over them."""
+    return model.transform(test).select(F.col(label).cast("double").alias(label), "prediction").persist()
 
 
-def classification_metrics(model: PipelineModel, test: DataFrame) -> dict[str, float]:
-    scored = model.transform(test)
-    return {
-        m: MulticlassClassificationEvaluator(labelCol="label", metricName=m).evaluate(scored)
-        for m in ("accuracy", "f1")
-    }
+def regression_metrics(
+    model: PipelineModel, test: DataFrame, target: str, names: Sequence[str] = ("r2", "mae", "rmse")
+) -> dict[str, float]:
+    scored = _scored(model, test, target)
+    found = {m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(scored) for m in names}
+    scored.unpersist()
+    return found
+
+
+def classification_metrics(
+    model: PipelineModel, test: DataFrame, names: Sequence[str] = ("accuracy", "f1")
+) -> dict[str, float]:
+    scored = _scored(model, test, "label")
+    found = {m: MulticlassClassificationEvaluator(labelCol="label", metricName=m).evaluate(scored) for m in names}
+    scored.unpersist()
+    return found
 
 
 @dataclass
@@ -130,7 +137,7 @@ def train_table(
             "linear": lambda: LogisticRegression(featuresCol="features", labelCol="label"),
         }[algorithm]()
         model = fit_classification(train, features, target, estimator)
-        name, value = "accuracy", classification_metrics(model, test)["accuracy"]
+        name, value = "accuracy", classification_metrics(model, test, ["accuracy"])["accuracy"]
     else:
         estimator = {
             "random_forest": lambda: random_forest_regressor(target),
@@ -142,7 +149,7 @@ def train_table(
             ),
         }[algorithm]()
         model = fit_regression(train, features, estimator)
-        name, value = "r2_score", regression_metrics(model, test, target)["r2"]
+        name, value = "r2_score", regression_metrics(model, test, target, ["r2"])["r2"]
     return Trained(model, features, target, algorithm, name, round(value, 4), n_train)
 
 
