@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,6 +31,8 @@ REGISTRY_SCHEMA = (
     "feature_names array<string>, target string, created_at timestamp"
 )
 STAGES = ("development", "staging", "production", "archived")
+#: Rows to train on in one task, and rows to explain (each is scored many times).
+TRAIN_ROWS, EXPLAIN_ROWS = 50_000, 5_000
 
 
 def split_rows(df: DataFrame, key: Sequence[str], train_tenths: int = 8):
@@ -38,10 +41,17 @@ def split_rows(df: DataFrame, key: Sequence[str], train_tenths: int = 8):
     return df.filter(part < train_tenths), df.filter(part >= train_tenths)
 
 
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """``df`` dealt evenly to as many tasks as its rows need; a table stored in that many or more stays as it is."""
+    tasks = -(-df.count() // rows_per_task)
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 def random_forest_regressor(target: str, trees: int = 100, depth: int = 8, min_leaf: int = 1):
+    # Each row's node in every tree is kept from level to level, not walked to from the root; the forest is the same.
     return RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, seed=SEED,
+        minInstancesPerNode=min_leaf, seed=SEED, cacheNodeIds=True,
     )
 
 
@@ -54,7 +64,7 @@ def gbt_regressor(target: str, rounds: int = 100, depth: int = 4, rate: float =
 
 def random_forest_classifier(trees: int = 100, depth: int = 8):
     return RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED
+        featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED, cacheNodeIds=True
     )
 
 
@@ -270,6 +280,13 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark: Spa
     )
 
 
+def _predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``model.transform(rows)`` with dense features: trees look up a sparse vector's by search, at every node."""
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    return model.stages[-1].transform(rows.withColumn("features", array_to_vector(vector_to_array("features"))))
+
+
 def replacement_effects(
     model: PipelineModel,
     rows: DataFrame,
@@ -283,7 +300,7 @@ def replacement_effects(
     ``transform``; a row yields one variant per feature.
     """
     names = list(features)
-    base = model.transform(rows).select(key, *names, F.col("prediction").alias("base"))
+    base = _predicted(model, rows).select(key, *names, F.col("prediction").alias("base"))
     variants = F.explode(
         F.array(
             *[
@@ -299,7 +316,7 @@ def replacement_effects(
         )
     )
     trial = base.select(key, "base", variants.alias("v")).select(key, "base", "v.*")
-    return model.transform(trial).select(
+    return _predicted(model, trial).select(
         key,
         "feature",
         "base",
@@ -315,7 +332,7 @@ def sensitivity(
     values = F.explode(F.array(*[F.lit(float(v)) for v in grid]))
     kept = [c for c in rows.columns if c != feature]
     trial = rows.select(*kept, values.alias(feature))
-    return model.transform(trial).select(key, F.col(feature).alias("value"), "prediction")
+    return _predicted(model, trial).select(key, F.col(feature).alias("value"), "prediction")
 
 
 def category_effects(
@@ -326,7 +343,7 @@ def category_effects(
     ``flags`` are the one-hot columns; the result has ``category, mean_effect, side``.
     """
     names = list(flags)
-    base = model.transform(rows).withColumnRenamed("prediction", "base")
+    base = _predicted(model, rows).withColumnRenamed("prediction", "base")
     kept = [c for c in rows.columns if c not in names]
     variants = F.explode(
         F.array(
@@ -340,7 +357,7 @@ def category_effects(
     )
     trial = base.select(*kept, "base", variants.alias("v")).select(*kept, "base", "v.*")
     effects = (
-        model.transform(trial)
+        _predicted(model, trial)
         .groupBy("category")
         .agg(F.avg(F.col("prediction") - F.col("base")).alias("mean_effect"))
     )

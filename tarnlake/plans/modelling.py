@@ -155,7 +155,7 @@ def _rating_model(spark, sf_dir, kind: str):
         else ml.gbt_regressor("target_rating", rounds=100, depth=4, rate=0.1)
     )
     train, test = ml.split_rows(model_rows(spark, sf_dir), ["p_partkey"])
-    return ml.fit_regression(train, MODEL_FEATURES, estimator), test
+    return ml.fit_regression(ml.spread(train, ml.TRAIN_ROWS), MODEL_FEATURES, estimator), ml.spread(test, ml.EXPLAIN_ROWS)
 
 
 def _metric_rows(spark, metrics: dict[str, float]):

@@ -159,6 +159,32 @@ def test_explanations(spark):
     assert scan.count() == 400
 
 
+
+def test_forests_keep_node_ids_and_are_the_same(spark):
+    df = line(spark, 200).withColumn("noise", F.col("id") % 3)
+    forest = ml.random_forest_regressor("y", trees=5, depth=4)
+    assert forest.getCacheNodeIds() and ml.random_forest_classifier().getCacheNodeIds()
+    kept = ml.fit_regression(df, ["x", "noise"], forest).stages[-1]
+    walked = ml.fit_regression(df, ["x", "noise"], forest.copy({forest.cacheNodeIds: False})).stages[-1]
+    assert [t.toDebugString.split("\n")[1:] for t in kept.trees] == [t.toDebugString.split("\n")[1:] for t in walked.trees]
+
+
+def test_explained_rows_are_dense_and_predicted_alike(spark):
+    df = line(spark, 50).withColumns({f"f{k}": (F.col("id") % 9 == k).cast("int") for k in range(8)})
+    names = ["x", *[f"f{k}" for k in range(8)]]
+    model = ml.fit_regression(df, names, ml.random_forest_regressor("y", trees=5, depth=4))
+    got = ml._predicted(model, df)
+    assert {type(r["features"]).__name__ for r in got.select("features").collect()} == {"DenseVector"}
+    assert rows(got.select("id", "prediction")) == rows(model.transform(df).select("id", "prediction"))
+
+
+def test_spread_deals_only_tables_stored_in_too_few_tasks(spark):
+    df = spark.range(95, numPartitions=2)
+    assert ml.spread(df, 10).rdd.getNumPartitions() == 10 and rows(ml.spread(df, 10)) == rows(df)
+    assert ml.spread(df, 60).rdd.getNumPartitions() == 2
+    assert ml.spread(spark.range(0), 10).count() == 0
+
+
 def test_category_effects(spark):
     df = spark.range(100).selectExpr("id", "CAST(id % 2 = 0 AS INT) AS a", "CAST(id % 2 = 1 AS INT) AS b",
                                      "CAST(id % 2 AS DOUBLE) * 10 AS y")
