@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,39 @@ def test_ngram_groups(docs, rows, monkeypatch, frequent, block):
     assert got == {k: sorted(v, key=repr) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("block", [4, 1000])
+def test_large_families_are_thinned_before_whole_sets_are_sent(spark, monkeypatch, block):
+    common = [f"w{k}" for k in range(8)]
+    texts = [" ".join([*common, *[f"a{i}x{k}" for k in range(12)]]) for i in range(12)]  # share frequent shingles only
+    texts += [" ".join([*common, *[f"b{k}" for k in range(60)], f"end{i}"]) for i in range(6)]  # near copies
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    for name, value in (("FREQUENT", 3), ("THIN_FROM", 0), ("BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
+    sent, links = [], ngram_join._spread
+    monkeypatch.setattr(ngram_join, "_spread", lambda m, *c: sent.append((c, links(m, *c))) or sent[-1][1])
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_groups(docs, 4, 85).collect()}
+    assert got == dict(enumerate(groups_by_hand(rows, 4, 85)))
+    assert [c[1] for c, _ in sent] == ["n", "shingles"]
+
+
+def test_bounds_of_thinning_keep_every_link():
+    dice = np.random.default_rng(3)
+    sets = [np.unique(dice.integers(0, 1 << 60, 60).astype(np.uint64)) for _ in range(4)]
+    sets += [np.unique(np.concatenate([s[k:], dice.integers(0, 1 << 60, k).astype(np.uint64)])) for s in sets[:3] for k in (1, 3, 5)]
+    n = [len(s) for s in sets]
+    frame = pd.DataFrame({"c": range(len(sets)), "n": n, "side": 0, "point": [ngram_join.point(s).tobytes() for s in sets],
+                          "met": [s[: ngram_join.prefix_length(k, 85)].view(np.int64) for s, k in zip(sets, n, strict=True)]})
+    found = {frozenset(p) for p in ngram_join._maybe(frame, 85)}
+    assert all(not {3} & p for p in found)  # alone
+    whole = pd.DataFrame({"c": range(len(sets)), "side": 0, "shingles": [s.tobytes() for s in sets]})
+    group = list(range(len(sets)))
+    for p in found:
+        a, b = (group[i] for i in p)
+        group = [b if g == a else g for g in group]
+    assert all(group[u] == group[v] for u, v in ngram_join._links(whole, 85))
+
+
 def test_one_of_each(docs, rows):
     want = sorted({r["doc_id"] for r, (n, c) in zip(rows, groups_by_hand(rows, 5, 80), strict=True) if c == r["doc_id"]})
     out = ngram_join.one_of_each(docs, 5, 80)
