@@ -616,3 +616,15 @@ def test_licenses_fold_ascii_letters_only(spark):
     texts = [(1, body.upper()), (2, body.replace("k", "\u212a"))]
     got = {r["doc_id"]: r["score"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1] == 1.0 and got[2] < 1.0
+
+
+def test_words_are_numbered_as_they_first_come():
+    from tarnlake.llm.subwords import Lexicon
+
+    lexicon = Lexicon(TOKENIZER, lm.word_hash)
+    words = [b"zeta", b"alpha", b"zeta", b"don't", b"\xc3\xa9t\xc3\xa9", b"alpha1", b"\xc4\xb0x"]
+    assert lexicon.numbers([words[:3], [], words[3:]]).tolist() == [0, 1, 0, 2, 3, 4, 5]
+    assert lexicon.numbers([[b"new", b"alpha"]]).tolist() == [6, 1]
+    assert lexicon.hashes.tolist() == [lm.word_hash(w) for w in [*dict.fromkeys(words), b"new"]]
+    for number, word in enumerate([*dict.fromkeys(words), b"new"]):
+        assert lexicon.subwords(np.array([number]))[0].tolist() == lexicon.encode.ids(word).tolist()
