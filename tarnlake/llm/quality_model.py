@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tarnlake.llm.common import by_place
-from tarnlake.llm.hashing import LOWER, combine, mix, slices, span_hashes, text_bytes, word_places
+from tarnlake.llm.hashing import HASHED, LOWER, combine, mix, slices, span_hashes, text_bytes, word_places
 
 #: Weights are hashed into so many places.
 PLACES = 1 << 18
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     def train(batches):
         held = []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED):
                 places, borders, factor = features(part.column("text"))
                 for i, label in enumerate(part.column("_label").to_pylist()):
                     at, count = np.unique(places[borders[i] : borders[i + 1]], return_counts=True)
@@ -145,7 +145,7 @@ def score(docs: DataFrame, weights: bytes) -> DataFrame:
     def run(batches):
         w = np.frombuffer(held.value, "<f4").astype(np.float64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED):
                 places, borders, factor = features(part.column("text"))
                 sums = np.concatenate([[0.0], np.cumsum(w[places])])
                 logit = (sums[borders[1:]] - sums[borders[:-1]]) * factor + w[PLACES]
