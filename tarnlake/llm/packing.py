@@ -167,24 +167,21 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS) -> DataFrame:
         from tarnlake.llm.subwords import encoder
 
         encode, packer = encoder(tokenizer_path), Packer(TaskContext.get().partitionId(), tiers)
-        try:
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-                for start, part in _batches(texts):
-                    for i, tokens in enumerate(encode.text_ids(part)):
-                        packer.add(ids[start + i], np.concatenate([tokens, end]))
-                    if packer.held > HELD_TOKENS:
-                        rows = packer.pack(False)
-                        rows += packer.pack(True) if packer.held > HELD_TOKENS // 2 else []
-                        if rows:
-                            yield table(rows, schema)
-                    elif packer.rows:
-                        rows, packer.rows = packer.rows, []
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            for start, part in _batches(texts):
+                for i, tokens in enumerate(encode.text_ids(part)):
+                    packer.add(ids[start + i], np.concatenate([tokens, end]))
+                if packer.held > HELD_TOKENS:
+                    rows = packer.pack(False)
+                    rows += packer.pack(True) if packer.held > HELD_TOKENS // 2 else []
+                    if rows:
                         yield table(rows, schema)
-            rows = packer.finish()
-            if rows:
-                yield table(rows, schema)
-        finally:
-            encode.rest()
+                elif packer.rows:
+                    rows, packer.rows = packer.rows, []
+                    yield table(rows, schema)
+        rows = packer.finish()
+        if rows:
+            yield table(rows, schema)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
