@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnlake.functions.ordered import top_per_key
+from tarnlake.operators import binned
 
 SEED = 42
 MIN_ROWS = 10
@@ -121,7 +122,8 @@ def train_table(
 ) -> Trained:
     """Train on a table's numeric columns; classify when the target is a small integer set.
 
-    The key only decides the train/test split and is no feature.
+    The key only decides the train/test split and is no feature. From ``binned.COUNTED_ROWS`` training rows on, forests
+    for classes and boosted trees for numbers learn from counts of rows alike to a tree, if those are few.
     """
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
     kinds = dict(df.dtypes)
@@ -146,8 +148,14 @@ def train_table(
             "gradient_boosting": lambda: _boosted_classifier(classes),
             "linear": lambda: LogisticRegression(featuresCol="features", labelCol="label"),
         }[algorithm]()
-        model = fit_classification(train, features, target, estimator)
-        name, value = "accuracy", classification_metrics(model, test, ["accuracy"])["accuracy"]
+        points = _points(train, features, n_train, estimator, classes) if algorithm == "random_forest" else None
+        name = "accuracy"
+        if points is None:
+            model = fit_classification(train, features, target, estimator)
+            value = classification_metrics(model, test, [name])[name]
+        else:
+            model = binned.fit_forest(train, features, target, points, estimator, classes)
+            value = binned.accuracy(model, test)
     else:
         estimator = {
             "random_forest": lambda: random_forest_regressor(target),
@@ -158,11 +166,25 @@ def train_table(
                 elasticNetParam=0.0, standardization=False,
             ),
         }[algorithm]()
-        model = fit_regression(train, features, estimator)
-        name, value = "r2_score", regression_metrics(model, test, target, ["r2"])["r2"]
+        points = _points(train, features, n_train, estimator) if algorithm == "gradient_boosting" else None
+        name = "r2_score"
+        if points is None:
+            model = fit_regression(train, features, estimator)
+            value = regression_metrics(model, test, target, ["r2"])["r2"]
+        else:
+            model = binned.fit_boosted(train, features, points, estimator)
+            value = binned.r2(model, test, target)
     return Trained(model, features, target, algorithm, name, round(value, 4), n_train)
 
 
+def _points(train: DataFrame, features: Sequence[str], n_train: int, estimator, classes: int = 1):
+    """Borders of the features' bins where the table is large enough to be learnt from counts, else None."""
+    if n_train < binned.COUNTED_ROWS:
+        return None
+    points = binned.split_points(train, features, estimator.getMaxBins())
+    return points if binned.possible_cells(points) * classes * binned.ROWS_PER_CELL <= n_train else None
+
+
 def _boosted_classifier(classes: int):
     boosted = GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=100, maxDepth=3, seed=SEED
